@@ -121,10 +121,10 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS k FROM d WHERE len(w) > 0)),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         shared AS (
-            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
             FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
         links AS (
-            SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * both >= 80 * (a.n + b.n - both)),
+            SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
         reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
         least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id
