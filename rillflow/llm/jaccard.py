@@ -12,10 +12,12 @@ Which shingles count as frequent is a matter of speed alone: those that tasks me
 counts within chunks added up over all rows (a lower bound, short by less than the number of chunks).
 Sets of three shingles or fewer have no partner but their equals.
 
-Candidates are not all pairs of a key's sets. Each key compares its least set with the others; sets
-that verification or other keys join need no further comparison; only keys whose sets still lie in
-different components take further pivots, four times as many each round, until none is left. So every link
-between components is found, and a group of thousands of near copies costs about one star.
+Candidates are not all pairs of a key's sets. First each key compares its least set, the pivot, with
+the others, and the links join components. Then only keys whose other sets still lie in different
+components are taken up, for TURNS turns (by least pivot, then by key): their texts meet in groups of
+bounded size, are compared across components there, and hand on a spanning forest of new links. Of the
+keys that still hold several components, the pairs that no group held are then verified one by one.
+So no link between components is lost, and a group of thousands of near copies costs about one star.
 
 Null, empty and wordless texts have no shingle and link with nothing; fewer than five words are one
 shingle. Equal rows are separate rows. Null doc_ids are carried; a component's id is its least doc_id.
@@ -34,8 +36,9 @@ from .common import broadcast_if, drop_written, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
-FREQUENT, MOST_FREQUENT = 64, 1_000_000
+COMMON, FREQUENT, MOST_COMMON = 3, 64, 2_000_000
 CHUNK_SHINGLES = 4_000_000
+SPLIT, SHARE, TURNS = 512, 0.3, 2
 MOST_ROWS = 1_000_000
 
 
@@ -96,31 +99,36 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return written(docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).mapInArrow(task, "kind byte, a long, b long, c int"), "sets")
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """Sorted hashes of frequent shingles: at least FREQUENT, or the power of two times it that leaves at most MOST_FREQUENT."""
-    counts = sets.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
-    counts = written(counts.select("a", "n", F.floor(F.log2(F.col("n") / FREQUENT)).cast("int").alias("level")), "frequent")
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles met COMMON times or more, at most MOST_COMMON of them, and whether each is frequent.
+
+    Where there are more, the bound on the count is doubled until they fit; results don't depend on it.
+    """
+    counts = sets.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON)
+    counts = written(counts.select("a", "n", F.floor(F.log2(F.col("n") / COMMON)).cast("int").alias("level")), "common")
     levels = {r["level"]: r["k"] for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()}
     level = 0
-    while sum(k for x, k in levels.items() if x >= level) > MOST_FREQUENT:
+    while sum(k for x, k in levels.items() if x >= level) > MOST_COMMON:
         level += 1
-    out = counts.where(F.col("level") >= level).select("a").toArrow()["a"].to_numpy().view(np.uint64)
+    table = counts.where(F.col("level") >= level).select("a", (F.col("n") >= FREQUENT).alias("f")).toArrow()
     drop_written(counts)
-    return np.sort(out)
+    h, frequent = table["a"].to_numpy().view(np.uint64), table["f"].to_numpy()
+    order = np.argsort(h)
+    return h[order], frequent[order]
 
 
 def size_class(n: int) -> int:
     return int(np.log(n) / np.log(1.26))
 
 
-def prefix_keys(h: np.ndarray, frequent: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The index keys of one set: h sorted, frequent a flag for each."""
+def prefix_keys(h: np.ndarray, level: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The index keys of one set: h sorted; level 0 for rare, 1 for common, 2 for frequent shingles."""
     n = len(h)
     need = n - -(-percent * n // 100) + 1
-    rare = h[~frequent]
+    rare = np.concatenate([h[level == 0], h[level == 1]]) if level.any() else h
     if len(rare) >= need:
         return [rare[:need]]
-    out, common, need = [rare], h[frequent], need - len(rare)
+    out, common, need = [rare], h[level == 2], need - len(rare)
     own = size_class(n)
     for c in {own, max(own - 1, 0)}:
         classes = max(1, int(0.05 * 1.26**c))
@@ -138,22 +146,23 @@ def prefix_keys(h: np.ndarray, frequent: np.ndarray, percent: int) -> list[np.nd
     return out
 
 
-def _keys(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+def _keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def task(batches):
-        often, seen = held.value, set()
+        (often, frequent), seen = held.value, set()
         for _, _, _, h, bounds, fp in _batches(batches, k):
-            flags = np.zeros(len(h), bool)
+            level = np.zeros(len(h), np.int8)
             if len(often) and len(h):
-                flags = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
+                at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                level = np.where(often[at] == h, frequent[at] + np.int8(1), 0)
             keys, owners = [], []
             for i, f in enumerate(fp.tolist()):
                 a, b = int(bounds[i]), int(bounds[i + 1])
                 if f in seen or b - a == -(-percent * (b - a) // 100):
                     continue  # a set that no other can match but its equal
                 seen.add(f)
-                for x in prefix_keys(h[a:b], flags[a:b], percent):
+                for x in prefix_keys(h[a:b], level[a:b], percent):
                     keys.append(x)
                     owners.append(np.full(len(x), f, np.uint64))
             if keys:
@@ -217,6 +226,150 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return written(rows.mapInArrow(task, "u long, v long"), "links")
 
 
+def _open_keys(named: DataFrame, done: DataFrame | None) -> DataFrame:
+    """(key, fp, label, old) of the keys that hold two labels and a pair that was never compared.
+
+    named: (key, fp, label); done: (fp, met), met being a key whose sets were all compared. Of a key's
+    sets, `old` are those of the earlier key that covers the most of them.
+    """
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("key", "n")
+    if done is None:
+        return written(named.join(mixed, "key").select("key", "fp", "label", F.lit(False).alias("old")), "open")
+    live = written(named.join(mixed, "key"), "live")
+    cover = live.join(done, "fp").groupBy("key", "met").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("met", F.struct("c", "met")).alias("met"), F.max("c").alias("c"))
+    left = live.join(cover, "key", "left").where("c IS NULL OR c < n")
+    old = done.withColumn("old", F.lit(True))
+    return written(left.join(old, ["fp", "met"], "left").select("key", "fp", "label", F.coalesce("old", F.lit(False)).alias("old")), "open")
+
+
+def _by_pivot(open_: DataFrame, stars: DataFrame) -> DataFrame:
+    """The groups of the first turn: the sets of open keys by the least pivot they ever had, which near copies share."""
+    least = stars.groupBy("fp").agg(F.min("pivot").alias("key"))
+    rows = open_.select("fp", "label").distinct().join(least, "fp").withColumn("old", F.lit(False))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels")).where("labels > 1")
+    return written(_dealt(rows, sizes).select("key", "one", "two", "part", "fp", "label", "old"), "groups")
+
+
+def _next_groups(open_: DataFrame, turn: int) -> DataFrame:
+    """(key, one, two, part, fp, label, old) of the keys to compare now: those that a good share of their sets put first.
+
+    The order is random and new in each turn; the very first key of all is always taken. Keys of many
+    sets are cut into parts, and every pair of parts is a group of its own.
+    """
+    first = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("key"))
+    pick = open_.groupBy("fp").agg(F.min(first).alias("first")).select("fp", F.col("first.key").alias("mine"))
+    votes = open_.join(pick, "fp").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("key") == F.col("mine")).cast("int")).alias("votes"))
+    chosen = votes.where(F.col("votes") >= SHARE * F.col("n")).select("key", "n")
+    return written(_dealt(open_, chosen).select("key", "one", "two", "part", "fp", "label", "old"), "groups")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows of keys in parts of about SPLIT: every pair of parts (one, two) gets the rows of both; sizes: (key, n)."""
+    cut = rows.join(sizes.select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other"))
+
+
+def _grouped(batches, width: int):
+    """(key, rows) of each group of a stream sorted by its first three columns; rows hold the others up to width."""
+    held, key = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(width))):
+            if row[:3] != key:
+                if len(held) > 1:
+                    yield key, held
+                held, key = [], row[:3]
+            held.append(row[3:])
+    if len(held) > 1:
+        yield key, held
+
+
+def _never_compared(open_: DataFrame, done: DataFrame) -> DataFrame:
+    """(u, v): pairs of different labels in open keys that no earlier group held together."""
+
+    def task(batches):
+        for key, rows in _grouped(batches, 7):
+            part, fp, label = (np.array([r[i] for r in rows]) for i in range(3))
+            met = [r[3] or [] for r in rows]
+            new = label[:, None] != label[None, :]
+            if key[1] != key[2]:
+                new &= part[:, None] != part[None, :]
+            if any(met):
+                ids, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in met]), return_inverse=True)
+                holds = np.zeros((len(rows), len(ids)), np.float32)
+                holds[np.repeat(np.arange(len(rows)), [len(x) for x in met]), inverse] = 1
+                new &= ~(holds @ holds.T > 0)
+            a, b = np.nonzero(np.triu(new, 1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["u", "v"])
+
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    past = done.groupBy("fp").agg(F.collect_set("met").alias("met"))
+    group = ["key", "one", "two"]
+    sent = _dealt(open_.join(past, "fp", "left"), sizes).select(*group, "part", "fp", "label", "met").repartition(*group).sortWithinPartitions(*group)
+    return sent.mapInArrow(task, "u long, v long").distinct()
+
+
+def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sorted sets are similar enough, by products of incidence matrices."""
+    sizes = np.array([len(x) for x in sets])
+    ids, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    place = np.cumsum(times > 1) - 1
+    shared = times[inverse] > 1
+    column, row = place[inverse[shared]], owner[shared]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for a in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
+        lo, hi = np.searchsorted(column, [a, a + 8192])
+        holds = np.zeros((len(sets), 8192), np.float32)
+        holds[row[lo:hi], column[lo:hi] - a] = 1
+        both += holds @ holds.T
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+
+
+def _compared(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """A spanning forest (u, v) of the links between different labels in each group, from whole texts."""
+
+    def task(batches):
+        held, key = [], None
+
+        def flush():
+            part, fp, label, old, sets = (list(x) for x in zip(*held))
+            part, fp, label, old = np.array(part), np.array(fp), np.array(label), np.array(old)
+            near = _similar(sets, percent) & (label[:, None] != label[None, :]) & ~(old[:, None] & old[None, :])
+            if key[1] != key[2]:
+                near &= part[:, None] != part[None, :]
+            root = np.arange(len(fp))
+            while True:
+                least = np.minimum(root, np.where(near, root[None, :], len(fp)).min(1))
+                if (least == root).all():
+                    break
+                root = least
+            some = root != np.arange(len(fp))
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fp[root[some]]), pa.array(fp[some])], ["u", "v"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            plain = list(zip(*(batch.column(i).to_pylist() for i in range(3, 7))))
+            for first, last, data, offsets in text_runs(batch.column(7)):
+                h, bounds = shingle_sets(data, offsets, k)
+                for r in range(first, last):
+                    if keys[r] != key:
+                        if len(held) > 1:
+                            yield from flush()
+                        held, key = [], keys[r]
+                    held.append((*plain[r], h[bounds[r - first] : bounds[r - first + 1]].copy()))
+        if len(held) > 1:
+            yield from flush()
+
+    group = ["key", "one", "two"]
+    sent = rows.select(*group, "part", "fp", "label", "old", "text").repartition(*group).sortWithinPartitions(*group)
+    return written(sent.mapInArrow(task, "u long, v long"), "links")
+
+
 def fingerprint_column(k: int = WORDS):
     @F.arrow_udf(T.LongType())
     def fingerprint(text: pa.Array) -> pa.Array:
@@ -230,7 +383,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     """(doc_id, n_shingles, component_id, fingerprint) of each row of docs (doc_id, text)."""
     both = _sets(docs, k)
     rows = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("c").alias("n"))
-    stars = _stars(_keys(docs, _frequent(both), k, percent))
+    stars = _stars(_keys(docs, _common(both), k, percent))
     sizes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     pairs = written(stars.select(F.col("pivot").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
@@ -250,20 +403,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     links = _verified(fitting(pairs), texts, k, percent)
     label = components(links)
-    members, done, width = stars.select("key", "fp"), pairs, 1
-    while True:
+    members, done = stars.select("key", "fp"), None
+
+    def open_keys() -> DataFrame:
         named = members.join(broadcast_if(label, label.count(), MOST_ROWS), members["fp"] == label["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-        open_ = written(named.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        ranked = open_.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("fp")))
-        head = ranked.where(F.col("nth") <= width).select("key", F.col("fp").alias("u"), F.col("label").alias("lu"), F.col("nth").alias("nu"))
-        more = ranked.join(head, "key").where("nth > nu AND label <> lu").select("u", F.col("fp").alias("v")).distinct()
-        fresh = written(fitting(more).join(done, ["u", "v"], "left_anti"), "more")
-        links = links.unionByName(_verified(fresh, texts, k, percent))
+        return _open_keys(named, done)
+
+    for turn in range(TURNS):
+        groups = _next_groups(open_keys(), turn) if turn else _by_pivot(open_keys(), stars)
+        links = links.unionByName(_compared(groups.join(texts, "fp"), k, percent))
+        label = components(links)
+        met = groups.select("fp", F.col("key").alias("met")).distinct()
+        done = written(met if done is None else done.unionByName(met), "done")
+    rest = written(fitting(_never_compared(open_keys(), done)), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(rest, texts, k, percent))
         label = components(links)
-        members, done, width = ranked.where(F.col("nth") > width).select("key", "fp"), done.unionByName(fresh), 4 * width
     named = rows.join(broadcast_if(label, label.count(), MOST_ROWS), rows["fp"] == label["node"], "left").select("doc_id", "fp", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("label"))
     named = written(named, "labels")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("label", "component_id")
