@@ -197,6 +197,49 @@ def _stars(keys: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(task, "key long, fp long, pivot long"), "stars")
 
 
+def _nodes(docs: DataFrame, k: int) -> DataFrame:
+    """(fp, n, sketch, text) of docs (text, _fp) whose fingerprint is _fp, written once.
+
+    The sketch has the shingles in the lowest quarter of hashes, cut to 32 bits.
+    """
+
+    def task(batches):
+        for batch, first, last, h, bounds, fp in _batches(batches, k):
+            low = h < U(1 << 62)
+            upto = np.concatenate([[0], np.cumsum(low)])[bounds] * 4
+            data = (h[low] >> U(30)).astype("<u4").tobytes()
+            sketch = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data)])
+            asked = batch.column(1).slice(first, last - first)
+            out = pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.diff(bounds).astype(np.int32)), sketch, batch.column(0).slice(first, last - first).cast(pa.string())], ["fp", "n", "sketch", "text"])
+            yield out.filter(pa.array(fp.view(np.int64) == asked.to_numpy()))
+
+    return written(docs.mapInArrow(task, "fp long, n int, sketch binary, text string"), "nodes")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that may be similar enough: an upper bound on what they share, from sizes and sketches.
+
+    A cut hash can only make the sketches seem to share more, so no similar pair is lost.
+    """
+
+    def task(batches):
+        for batch in batches:
+            good = np.zeros(len(batch), bool)
+            nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                need = percent * (int(nu[i]) + int(nv[i]))
+                most = min(int(nu[i]), int(nv[i]))
+                if (100 + percent) * most >= need:
+                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+                    good[i] = (100 + percent) * (both + min(int(nu[i]) - len(a), int(nv[i]) - len(b))) >= need
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
+
+    slim = nodes.select("fp", "n", "sketch")
+    rows = pairs.join(slim.toDF("v", "nv", "sv"), "v").join(slim.toDF("u", "nu", "su"), "u").select("u", "v", "nu", "nv", "su", "sv")
+    return written(rows.mapInArrow(task, "u long, v long").distinct(), "possible")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough, by their whole texts."""
 
@@ -384,24 +427,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     both = _sets(docs, k)
     rows = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("c").alias("n"))
     stars = _stars(_keys(docs, _common(both), k, percent))
-    sizes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    sizes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     pairs = written(stars.select(F.col("pivot").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    nodes = written(ends.join(sizes, "fp"), "nodes")
-    count = nodes.count()
-    ids = broadcast_if(nodes.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), count, MOST_ROWS)
+    ids = written(ends.join(sizes, "fp").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "ids")
+    ids = broadcast_if(ids, ids.count(), MOST_ROWS)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = found.join(ids, found["doc_id"].eqNullSafe(ids["_id"])).withColumn("fp", fingerprint_column(k)("text"))
-    texts = written(found.where("fp = _fp").select("fp", "text").dropDuplicates(["fp"]), "texts")
-    sized = nodes.select("fp", "n")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity."""
-        a, b = sized.toDF("u", "nu"), sized.toDF("v", "nv")
-        out = pairs.join(broadcast_if(a, count, MOST_ROWS), "u").join(broadcast_if(b, count, MOST_ROWS), "v")
-        return out.where((100 * F.least("nu", "nv")) >= percent * F.greatest("nu", "nv")).select("u", "v")
-
-    links = _verified(fitting(pairs), texts, k, percent)
+    nodes = _nodes(found.join(ids, found["doc_id"].eqNullSafe(ids["_id"])).select("text", "_fp"), k)
+    texts = nodes.select("fp", "text")
+    links = _verified(_possible(pairs, nodes, percent), texts, k, percent)
     label = components(links)
     members, done = stars.select("key", "fp"), None
 
@@ -415,7 +449,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         label = components(links)
         met = groups.select("fp", F.col("key").alias("met")).distinct()
         done = written(met if done is None else done.unionByName(met), "done")
-    rest = written(fitting(_never_compared(open_keys(), done)), "rest")
+    rest = _possible(_never_compared(open_keys(), done), nodes, percent)
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, k, percent))
         label = components(links)
