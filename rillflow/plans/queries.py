@@ -462,3 +462,15 @@ def _dns(spark, sf_dir):
     ips = F.concat(F.lit("{10.0.0."), (port % 7).cast("string"), F.lit(",10.0.1."), (port % 5).cast("string"), F.lit("}"))
     t = flows(spark, sf_dir).select(F.concat(F.lit("host"), port.cast("string")).alias("name"), ips.alias("ips")).distinct()
     return t.select("name", F.explode(F.split(F.regexp_replace("ips", "[{}]", ""), ",")).alias("ip")).distinct()
+
+
+# Decoders: events as version 5 datagrams of one record each.
+@_query("dec_nf5", "SELECT ip4_src_addr, protocol, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS octets, CAST(sum(in_pkts) AS BIGINT) AS packets FROM eflows GROUP BY 1, 2")
+def _dec_nf5(spark, sf_dir):
+    from ..sources import wire
+
+    word = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    header = F.lit("00050001" + "00" * 20)
+    record = F.concat(header, word(F.col("ip4_src_addr"), 8), F.lit("00" * 12), word(F.col("in_pkts"), 8), word(F.col("in_bytes"), 8), F.lit("00" * 14), word(F.col("protocol"), 2), F.lit("00" * 9))
+    sent = eflows(spark, sf_dir).select(F.col("ts").alias("recv_ts"), F.lit("10.9.9.9").alias("src_ip"), F.unhex(record).alias("payload"))
+    return wire.decode(sent).groupBy("ip4_src_addr", "protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("octets"), F.sum("in_pkts").alias("packets"))
