@@ -12,9 +12,10 @@ import re
 
 import numpy as np
 
-MOST_CUTS, LONGEST_CUT = 1_000_000, 48
+MOST_CUTS, LONGEST_CUT = 1_400_000, 48
 UNSAFE = re.compile(r" (?=[\s\u180e]|\Z)")
 LONE = re.compile(r"\s\n|\n\s|\A\n|\n\Z")
+ODD = re.compile(r"[^\S\n ]|  | \n| \Z|\n\n|\n\Z|[^\n] |\u180e")
 WORD = re.compile(r" ?[^\s\u180e]+")
 DIVIDER = "\n"  # a piece of its own before a space that a word follows
 _encoders: dict[str, "Encoder"] = {}
@@ -64,21 +65,42 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encodes new cuts: words as one text with dividers between them, others one by one."""
-        known = self.known
-        built = {cut: self._atoms(cut) if not LONE.search(cut) else [cut] for cut in new}
-        atoms = {a for own in built.values() for a in own}.difference(known)
-        words = [a for a in atoms if WORD.fullmatch(a)]
+        known, ends = self.known, self.ends
+        words, ended, built = set(), [], {}
+        for cut in new:
+            if DIVIDER in cut:
+                built[cut] = self._atoms(cut) if not LONE.search(cut) else [cut]
+            elif cut[-1:] in ends and cut[-2:-1].isalpha():
+                ended.append(cut)
+                words.add(cut[:-1])
+            else:
+                words.add(cut)
+        for own in built.values():
+            words.update(own)
+        words.difference_update(known)
+        words.discard(DIVIDER)
+        every = words = list(words)
+        joined = DIVIDER + DIVIDER.join(words)
+        if ODD.search(joined):  # white space within a word
+            words = [w for w in words if WORD.fullmatch(w)]
+            joined = DIVIDER + DIVIDER.join(words)
         if len(self.divider) == 1 and words:
-            ids = np.array(self.tokenizer.encode_batch_fast([DIVIDER + DIVIDER.join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(ids == self.divider[0])
             if len(at) == len(words):
                 data = ids.tobytes()
-                known.update((w, data[a:b]) for w, a, b in zip(words, (4 * at + 4).tolist(), [*(4 * at[1:]).tolist(), len(data)]))
-        for atom in atoms:
-            if atom not in known:
-                known[atom] = self._plain(atom)
+                edges = (4 * at).tolist()
+                edges.append(len(data))
+                known.update(zip(words, [data[a + 4 : b] for a, b in zip(edges, edges[1:])]))
+        for word in every if len(words) < len(every) or words and words[0] not in known else ():
+            if word not in known:
+                known[word] = self._plain(word)
+        known.setdefault(DIVIDER, self._plain(DIVIDER))
         get = known.__getitem__
-        known.update([(cut, b"".join(map(get, own))) for cut, own in built.items() if cut not in known])
+        for cut in ended:
+            known[cut] = known[cut[:-1]] + ends[cut[-1]]
+        for cut, own in built.items():
+            known[cut] = b"".join(map(get, own)) if own != [cut] else self._plain(cut)
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
