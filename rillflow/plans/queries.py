@@ -174,7 +174,7 @@ def _window_query(name: str, text: str, fields: list[str], seconds: int, sql: st
         df = dsl.where(_absent(flows(spark, sf_dir)), text)
         if rate is not None:
             df = lookup.device_rates(df.drop("sampling_rate"), spark.createDataFrame(_DEVICE_ROWS, _DEVICES))
-        out = windows.tumbling(df, fields, seconds, rate=rate)
+        out = windows.tumbling(df, fields, seconds, rate=None if rate is None else F.col(rate))
         return _time(windows.top_with_others(out, fields, limit))
 
 
@@ -184,7 +184,7 @@ _window_query("win_proto", "", ["proto", "octets desc"], DAY7, f"SELECT {_T} AS
 _window_query("win_multi_agg", "proto 6 or 17", ["src as", "octets", "packets", "bits"], DAY7, f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes) AS BIGINT) AS octets, CAST(sum(in_pkts) AS BIGINT) AS packets, CAST(sum(in_bytes * 8) AS BIGINT) AS bits FROM flows WHERE protocol IN (6, 17) GROUP BY 1, 2")
 _window_query("win_bits_scale", "dst port 443", ["bits desc", "src ifidx"], DAY7, f"SELECT {_T} AS time, CAST(sum(in_bytes * 8) AS BIGINT) AS bits, input_snmp AS src_ifidx FROM flows WHERE l4_dst_port = 443 GROUP BY 1, 3")
 _window_query("win_distinct_keys", "", ["src as", "proto"], DAY7, f"SELECT DISTINCT {_T} AS time, src_as, protocol AS proto FROM flows")
-_window_query("win_sampling", "", ["src as", "octets"], DAY7, f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes * {_RATE}) AS BIGINT) AS octets FROM flows GROUP BY 1, 2", rate=F.col("sampling_rate"))
+_window_query("win_sampling", "", ["src as", "octets"], DAY7, f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes * {_RATE}) AS BIGINT) AS octets FROM flows GROUP BY 1, 2", rate="sampling_rate")
 _window_query("win_portpair", "", ["ppstr(src port, dst port)", "octets"], 30 * 86400, f"""SELECT {_END.format(30 * 86400)} AS time, CASE
     WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '(' || l4_src_port || ') -> ' || b || '(' || l4_dst_port || ')'
     WHEN l4_src_port = l4_dst_port THEN l4_src_port || ' -> ' || l4_dst_port
