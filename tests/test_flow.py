@@ -19,7 +19,7 @@ def test_documented_filter_parses():
             dsl.parse(bad)
 
 
-def test_field_names_and_order():
+def test_field_names_and_order(spark):
     f = dsl.parse_field("div_r(octets, packets, 100) desc")
     assert f.name == "div_r_octets__packets__100_" and f.descending and not f.summed
     assert dsl.parse_field("bits").summed
