@@ -39,7 +39,7 @@ WORDS, PERCENT = 5, 80
 COMMON, FREQUENT, MOST_COMMON = 3, 64, 2_000_000
 CHUNK_SHINGLES = 4_000_000
 SPLIT, SHARE, TURNS = 512, 0.3, 2
-MOST_ROWS = 1_000_000
+MOST_ROWS, MOST_ENDS = 1_000_000, 2_000_000
 
 
 def fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -216,8 +216,22 @@ def _nodes(docs: DataFrame, k: int) -> DataFrame:
     return written(docs.mapInArrow(task, "fp long, n int, sketch binary, text string"), "nodes")
 
 
+def _only(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes that are an end of a pair: others don't move."""
+    ends = written(pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct(), "ends")
+    return nodes.join(broadcast_if(ends, ends.count(), MOST_ENDS), "fp", "left_semi")
+
+
+def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sizes allow enough to be shared."""
+    sizes = written(nodes.select("fp", "n"), "sizes")
+    sizes = broadcast_if(sizes, sizes.count(), MOST_ROWS)
+    rows = pairs.join(sizes.toDF("v", "nv"), "v").join(sizes.toDF("u", "nu"), "u")
+    return written(rows.where((100 + percent) * F.least("nu", "nv").cast("long") >= percent * (F.col("nu").cast("long") + F.col("nv"))).select("u", "v"), "sized")
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that may be similar enough: an upper bound on what they share, from sizes and sketches.
+    """The pairs (u, v) that may be similar enough: an upper bound on what they share, from sizes, then sketches.
 
     A cut hash can only make the sketches seem to share more, so no similar pair is lost.
     """
@@ -228,16 +242,14 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
                 a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                need = percent * (int(nu[i]) + int(nv[i]))
-                most = min(int(nu[i]), int(nv[i]))
-                if (100 + percent) * most >= need:
-                    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
-                    good[i] = (100 + percent) * (both + min(int(nu[i]) - len(a), int(nv[i]) - len(b))) >= need
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+                good[i] = (100 + percent) * (both + min(int(nu[i]) - len(a), int(nv[i]) - len(b))) >= percent * (int(nu[i]) + int(nv[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
 
-    slim = nodes.select("fp", "n", "sketch")
+    pairs = _sized(pairs, nodes, percent)
+    slim = _only(nodes.select("fp", "n", "sketch"), pairs)
     rows = pairs.join(slim.toDF("v", "nv", "sv"), "v").join(slim.toDF("u", "nu", "su"), "u").select("u", "v", "nu", "nv", "su", "sv")
-    return written(rows.mapInArrow(task, "u long, v long").distinct(), "possible")
+    return written(rows.mapInArrow(task, "u long, v long"), "possible")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -263,6 +275,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     good[i] = 100 * both >= percent * (len(a) + len(b) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
 
+    texts = _only(texts, pairs)
     left = texts.select(F.col("fp").alias("v"), F.col("text").alias("tv"))
     right = texts.select(F.col("fp").alias("u"), F.col("text").alias("tu"))
     rows = pairs.select("u", "v").join(left, "v").join(right, "u").select("u", "v", "tu", "tv")
@@ -353,11 +366,10 @@ def _never_compared(open_: DataFrame, done: DataFrame) -> DataFrame:
     return sent.mapInArrow(task, "u long, v long").distinct()
 
 
-def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs of sorted sets are similar enough, by products of incidence matrices."""
-    sizes = np.array([len(x) for x in sets])
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How much each pair of sets has in common, by products of incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     ids, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
     place = np.cumsum(times > 1) - 1
     shared = times[inverse] > 1
     column, row = place[inverse[shared]], owner[shared]
@@ -369,7 +381,41 @@ def _similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
         holds = np.zeros((len(sets), 8192), np.float32)
         holds[row[lo:hi], column[lo:hi] - a] = 1
         both += holds @ holds.T
-    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    return both
+
+
+def _asked(key: tuple, part: np.ndarray, label: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """Which pairs of a group are of different labels, not compared before, and of this pair of parts."""
+    asked = (label[:, None] != label[None, :]) & ~(old[:, None] & old[None, :])
+    return asked & (part[:, None] != part[None, :]) if key[1] != key[2] else asked
+
+
+def _screened(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups that may have a similar partner in their group, by sizes and sketches; texts stay where they are."""
+    columns = ["key", "one", "two", "part", "fp", "label", "old"]
+
+    def task(batches):
+        for key, rows in _grouped(batches, 9):
+            part, fp, label, old, n = (np.array([r[i] for r in rows]) for i in range(5))
+            asked = _asked(key, part, label, old)
+            asked &= (100 + percent) * np.minimum(n[:, None], n[None, :]) >= percent * (n[:, None] + n[None, :])
+            some = np.flatnonzero(asked.any(1))
+            if not some.size:
+                continue
+            sketches = [np.unique(np.frombuffer(rows[i][5], "<u4")) for i in some]
+            n = n[some]
+            rest = n - np.array([len(x) for x in sketches])  # equal cut hashes of one set count here
+            most = _shared(sketches) + np.minimum(rest[:, None], rest[None, :])
+            near = asked[np.ix_(some, some)] & ((100 + percent) * most >= percent * (n[:, None] + n[None, :]))
+            some = some[near.any(1)]
+            if some.size:
+                k = [pa.array([key[0]] * len(some), pa.int64()), *(pa.array([x] * len(some), pa.int32()) for x in key[1:])]
+                yield pa.RecordBatch.from_arrays([*k, pa.array(part[some].astype(np.int32)), pa.array(fp[some]), pa.array(label[some]), pa.array(old[some])], columns)
+
+    group = columns[:3]
+    slim = nodes.select("fp", F.col("n").cast("long").alias("n"), "sketch")
+    sent = groups.join(slim, "fp").select(*columns, "n", "sketch").repartition(*group).sortWithinPartitions(*group)
+    return written(sent.mapInArrow(task, "key long, one int, two int, part int, fp long, label long, old boolean"), "screened")
 
 
 def _compared(rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -381,9 +427,8 @@ def _compared(rows: DataFrame, k: int, percent: int) -> DataFrame:
         def flush():
             part, fp, label, old, sets = (list(x) for x in zip(*held))
             part, fp, label, old = np.array(part), np.array(fp), np.array(label), np.array(old)
-            near = _similar(sets, percent) & (label[:, None] != label[None, :]) & ~(old[:, None] & old[None, :])
-            if key[1] != key[2]:
-                near &= part[:, None] != part[None, :]
+            both, n = _shared(sets), np.array([len(x) for x in sets])
+            near = _asked(key, part, label, old) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
             root = np.arange(len(fp))
             while True:
                 least = np.minimum(root, np.where(near, root[None, :], len(fp)).min(1))
@@ -445,7 +490,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
 
     for turn in range(TURNS):
         groups = _next_groups(open_keys(), turn) if turn else _by_pivot(open_keys(), stars)
-        links = links.unionByName(_compared(groups.join(texts, "fp"), k, percent))
+        screened = _screened(groups, nodes, percent)
+        wanted = _only(texts, screened.select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+        links = links.unionByName(_compared(screened.join(wanted, "fp"), k, percent))
         label = components(links)
         met = groups.select("fp", F.col("key").alias("met")).distinct()
         done = written(met if done is None else done.unionByName(met), "done")
