@@ -200,14 +200,14 @@ def _stars(keys: DataFrame) -> DataFrame:
 def _nodes(docs: DataFrame, k: int) -> DataFrame:
     """(fp, n, sketch, text) of docs (text, _fp) whose fingerprint is _fp, written once.
 
-    The sketch has the shingles in the lowest quarter of hashes, cut to 32 bits.
+    The sketch has the shingles in the lowest quarter of hashes, cut to 24 bits, little-endian.
     """
 
     def task(batches):
         for batch, first, last, h, bounds, fp in _batches(batches, k):
             low = h < U(1 << 62)
-            upto = np.concatenate([[0], np.cumsum(low)])[bounds] * 4
-            data = (h[low] >> U(30)).astype("<u4").tobytes()
+            upto = np.concatenate([[0], np.cumsum(low)])[bounds] * 3
+            data = (h[low] >> U(38)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
             sketch = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data)])
             asked = batch.column(1).slice(first, last - first)
             out = pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.diff(bounds).astype(np.int32)), sketch, batch.column(0).slice(first, last - first).cast(pa.string())], ["fp", "n", "sketch", "text"])
@@ -216,6 +216,13 @@ def _nodes(docs: DataFrame, k: int) -> DataFrame:
     return written(docs.mapInArrow(task, "fp long, n int, sketch binary, text string"), "nodes")
 
 
+def _sketch(data) -> np.ndarray:
+    """The sorted numbers of a sketch's bytes."""
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def _only(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The nodes that are an end of a pair: others don't move."""
     ends = written(pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct(), "ends")
@@ -241,7 +248,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             good = np.zeros(len(batch), bool)
             nu, nv = (batch.column(i).to_numpy() for i in (2, 3))
             for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                a, b = _sketch(x.as_buffer()), _sketch(y.as_buffer())
                 both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
                 good[i] = (100 + percent) * (both + min(int(nu[i]) - len(a), int(nv[i]) - len(b))) >= percent * (int(nu[i]) + int(nv[i]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
@@ -402,7 +409,7 @@ def _screened(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             some = np.flatnonzero(asked.any(1))
             if not some.size:
                 continue
-            sketches = [np.unique(np.frombuffer(rows[i][5], "<u4")) for i in some]
+            sketches = [np.unique(_sketch(rows[i][5])) for i in some]
             n = n[some]
             rest = n - np.array([len(x) for x in sketches])  # equal cut hashes of one set count here
             most = _shared(sketches) + np.minimum(rest[:, None], rest[None, :])

@@ -74,6 +74,22 @@ def test_jaccard_prefixes_meet():
         assert keys[0] & keys[1]
 
 
+def test_jaccard_sketches_bound():
+    """The bound of sizes and sketches is never below what two sets share, for random sets and for equal cut hashes."""
+    rng = np.random.default_rng(5)
+    pool = np.unique(np.concatenate([rng.integers(0, 1 << 64, 300, np.uint64), np.arange(40, dtype=np.uint64)]))
+    sets = [np.sort(rng.choice(pool, int(rng.integers(0, 200)), replace=False)) for _ in range(40)]
+    cut = [(x[x < 1 << 62] >> np.uint64(38)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in sets]
+    sketches = [np.unique(jaccard._sketch(x)) for x in cut]
+    assert all((jaccard._sketch(x)[:-1] <= jaccard._sketch(x)[1:]).all() for x in cut)
+    rest = np.array([len(x) - len(s) for x, s in zip(sets, sketches)])
+    most = jaccard._shared(sketches) + np.minimum(rest[:, None], rest[None, :])
+    true = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (most >= true)[off].all()
+    assert (jaccard._shared(sets) == true)[off].all()
+
+
 def test_decontamination(spark, docs):
     benchmark = spark.createDataFrame([(1, "c d e f g"), (2, None), (3, LONG[:200]), (4, "words"), (None, "x y z")], "item_id long, text string").unionByName(spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("item_id", F.col("item_id") + 10))
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
