@@ -32,7 +32,7 @@ from .common import written
 from .tokenizer import encoder
 
 GROUPS, SMALL = 256, 8
-TEXTS = 256  # encoded at once
+TEXTS = 1024  # encoded at once
 
 
 @dataclass

@@ -20,7 +20,7 @@ from .common import filesystem, fresh_path, written
 from .tokenizer import encoder
 
 FILE_IDS = 4 << 20
-TEXTS = 256  # encoded at once
+TEXTS = 1024  # encoded at once
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
