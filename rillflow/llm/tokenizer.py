@@ -19,7 +19,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-BATCH = 4 << 20  # characters encoded at once; longer texts are cut where a piece starts
+BATCH = 2 << 20  # characters encoded at once; longer texts are cut where a piece starts
 STARTS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
