@@ -68,19 +68,16 @@ def read(manifest: DataFrame) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for part, file, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for path, first in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 fs, name = filesystem(path)
                 with fs.open_input_stream(name) as f:
                     reader = dac.Reader(f.read())
                 ids, at = reader.ids().astype("<u4").tobytes(), reader.starts
-                n = len(reader.doc_ids)
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "file": pa.array([file] * n, pa.int32()), "doc_id": pa.array(reader.doc_ids, pa.int64()), "at": pa.array(at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(reader.doc_ids, pa.int64()), "start": pa.array(first + at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    files = manifest.select("part", "file", "path").repartition(max(1, manifest.count()), "path")
-    rows = files.mapInArrow(task, "part int, file int, doc_id long, at long, n_tokens long, ids_crc32 long")
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_base"))
-    ordered = Window.partitionBy("part").orderBy("file")
-    base = manifest.select("part", "file", (F.sum("n_ids").over(ordered) - F.col("n_ids")).alias("_before")).join(parts, "part")
-    return rows.join(base, ["part", "file"]).select("doc_id", (F.col("_base") + F.col("_before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("file")) - F.col("n_ids")
+    files = manifest.select("part", "path", before.alias("_before")).join(parts, "part").select("path", (F.col("_base") + F.col("_before")).alias("first"))
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
