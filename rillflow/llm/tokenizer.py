@@ -49,7 +49,7 @@ class Encoder:
         pre, letters, vocabulary = self.tokenizer.pre_tokenizer, byte_characters(), self.tokenizer.get_vocab(with_added_tokens=False)
         self.by_pieces = self.tokenizer.normalizer is None and pre is not None and json.loads(pre.__getstate__()) == BYTE_LEVEL and all(c in vocabulary for c in letters)
         if self.by_pieces:
-            self.model = Tokenizer.from_file(path)
+            self.model = Tokenizer(self.tokenizer.model)  # the same model, not a second copy
             self.model.pre_tokenizer = CharDelimiterSplit(DIVIDER)
             self.letters = np.array([ord(c) for c in letters], "<u2")
             self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
