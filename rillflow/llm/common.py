@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,11 +63,17 @@ def filesystem(uri: str):
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once per Spark context, for clusters that don't have it on their path."""
+    """Sends this package to the executors once per Spark context, for clusters that don't have it on their path.
+
+    Also bounds the bytes of an Arrow batch, of which JVM and worker each hold several, unless the session's
+    configuration names a bound: whole texts may be long.
+    """
     import os
     import shutil
 
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH_BYTES[0]):
+        spark.conf.set(*BATCH_BYTES)
     if not getattr(sc, "_rillflow_shipped", False):
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         if os.path.isdir(package):
