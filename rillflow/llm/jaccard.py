@@ -159,8 +159,8 @@ def _keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percen
             keys, owners = [], []
             for i, f in enumerate(fp.tolist()):
                 a, b = int(bounds[i]), int(bounds[i + 1])
-                if f in seen or b - a == -(-percent * (b - a) // 100):
-                    continue  # a set that no other can match but its equal
+                if f in seen or 100 * (b - a) < percent * (b - a + 1):
+                    continue  # not even a set of one shingle more is near: only its equal matches
                 seen.add(f)
                 for x in prefix_keys(h[a:b], level[a:b], percent):
                     keys.append(x)

@@ -59,6 +59,15 @@ def test_jaccard(docs):
     assert kept.count() == filled + sum(not s for s in sets)
 
 
+def test_jaccard_least_sets(spark):
+    """Four shingles in five are 0.8 and link, also where chains or frequent shingles go through them; three in four don't."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, words("a", 8)), (2, words("a", 9)), (3, "z " + words("b", 8)), (4, words("b", 8)), (5, words("b", 8) + " y"), (6, words("c", 7)), (7, words("c", 8))]
+    rows += [(10 + i, words("d", 8) + (f" e{i}" if i else "")) for i in range(100)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7} | {10 + i: 10 for i in range(100)}
+
+
 def test_jaccard_prefixes_meet():
     """Any two similar sets share a key, whatever counts as common or frequent."""
     rng = np.random.default_rng(3)
