@@ -475,7 +475,10 @@ def fingerprint_column(k: int = WORDS):
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, fingerprint) of each row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, fingerprint, label) of each row of docs (doc_id, text).
+
+    label tells components apart, also those whose component_id is equal or null; wordless rows have none.
+    """
     both = _sets(docs, k)
     rows = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("c").alias("n"))
     stars = _stars(_keys(docs, _common(both), k, percent))
@@ -511,20 +514,23 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     named = written(named, "labels")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("label", "component_id")
     out = named.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("fp").alias("fingerprint"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("fp").alias("fingerprint"), "label")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of near duplicates (that of least doc_id), with its columns; wordless texts all stay."""
-    found = written(near_duplicates(docs).select("doc_id", "component_id", "fingerprint", "n_shingles"), "components")
+    found = written(near_duplicates(docs).select("doc_id", "component_id", "fingerprint", "label"), "components")
     drop = found.where("doc_id IS NULL AND component_id IS NOT NULL OR doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("fingerprint").alias("_f")).distinct()
     tagged = docs.withColumn("_fingerprint", fingerprint_column()(F.col("text").cast("string")))
     drop = broadcast_if(drop, drop.count(), MOST_ROWS)
     left = tagged.join(drop, tagged["doc_id"].eqNullSafe(drop["_d"]) & (tagged["_fingerprint"] == drop["_f"]), "left_anti")
-    again = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if not again.isEmpty():  # rows that repeat a doc_id
-        once = Window.partitionBy("doc_id").orderBy("_fingerprint", "text")
-        same = left["doc_id"].eqNullSafe(again["doc_id"])
-        twice = left.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1 OR _fingerprint = 0").drop("_nth")
+    firsts = found.where("label IS NOT NULL AND doc_id <=> component_id")
+    again = written(firsts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "again")
+    if many := again.count():  # components of which several rows have the least doc_id, or none has any
+        again = written(firsts.join(broadcast_if(again, many, MOST_ROWS), "label").select(F.col("label").alias("_label"), F.col("fingerprint").alias("_f")).distinct(), "again")
+        again = broadcast_if(again, again.count(), MOST_ROWS)
+        once = Window.partitionBy("_label").orderBy("_fingerprint", "text")
+        same = left["_fingerprint"] == again["_f"]
+        twice = left.join(again, same).withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*left.columns)
         left = left.join(again, same, "left_anti").unionByName(twice)
     return left.select(*docs.columns)

@@ -68,6 +68,14 @@ def test_jaccard_least_sets(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7} | {10 + i: 10 for i in range(100)}
 
 
+def test_keep_first_repeated_ids(spark):
+    """Rows of equal or null doc_id are told apart by component, not by doc_id."""
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k  L"), (None, ""), (None, None), (1, "m n o p q r"), (1, "s t u v w x"), (1, "s t u v w x"), (None, "s t u v w x"), (2, "m n o p q r"), (2, "only two"), (3, "")]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, "a b c d e f"), (None, "g h i j k l"), (None, ""), (None, None), (1, "m n o p q r"), (1, "s t u v w x"), (2, "only two"), (3, "")]
+    assert sorted(str((r.doc_id, " ".join(r.text.lower().split()) if r.text else r.text)) for r in kept) == sorted(map(str, want))
+
+
 def test_jaccard_prefixes_meet():
     """Any two similar sets share a key, whatever counts as common or frequent."""
     rng = np.random.default_rng(3)
