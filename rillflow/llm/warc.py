@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, drop_written, filesystem, fresh_path, written
 
 SHORTEST = 1000
-BLOCK, LONGEST_HEADER = 4 << 20, 64 << 10
+BLOCK, AHEAD = 4 << 20, 64 << 10  # bytes; AHEAD is read beyond a block at first, and more where a header goes on
 MOST_GROUPS = 500_000
 MAGIC = b"WARC/1."
-NEWLINE, END = "\r\n", "\r\n\r\n"
+NEWLINE, END, BLANK = "\r\n", "\r\n\r\n", b"\r\n\r\n"
 LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
 PAGE = re.compile(r"<urn:x-page:(-?\d+)>")
 
@@ -58,11 +58,30 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
     return folder
 
 
-def header_at(data, at: int) -> tuple[int, int] | None:
-    """(end of the header, length of the block) of the record at `at`; None if it isn't a whole header."""
-    end = data.find(b"\r\n\r\n", at, at + LONGEST_HEADER)
-    found = LENGTH.search(data, at, end + 2) if end >= 0 else None
-    return (end + 4, int(found[1])) if found else None
+def with_header(f, data: bytes, start: int, at: int, size: int) -> bytes:
+    """data, read from f at start, and what follows it until the header at `at` is whole or the file ends."""
+    seen = at
+    while data.find(BLANK, seen) < 0 and start + len(data) < size:
+        seen = max(at, len(data) - len(BLANK) + 1)
+        data += f.read_at(min(max(AHEAD, len(data) - at), size - start - len(data)), start + len(data))
+    return data
+
+
+def headers(data: bytes, at: int, upto: int):
+    """(offset, end of the header, length of the block) of each magic from `at` to before upto that has a whole header.
+
+    What is found once serves all magics before it, so that many magics in one long stretch take no longer.
+    """
+    end, found = -1, None
+    while 0 <= (at := data.find(MAGIC, at)) < upto:
+        new = end < at
+        if new and (end := data.find(BLANK, at)) < 0:
+            return
+        if new or found and found.start() < at:
+            found = LENGTH.search(data, at, end + 2)
+        if found:
+            yield at, end + len(BLANK), int(found[1])
+        at += 1
 
 
 def _whole_uri(path: str) -> str:
@@ -78,12 +97,10 @@ def candidates(files: DataFrame, block: int = BLOCK) -> DataFrame:
                 end = min(start + block, size)
                 fs, name = filesystem(_whole_uri(path))
                 with fs.open_input_file(name) as f:
-                    data = f.read_at(min(end + LONGEST_HEADER, size) - start, start)
-                nexts, at = {}, data.find(MAGIC)
-                while 0 <= at < end - start:
-                    if head := header_at(data, at):
-                        nexts[at] = head[0] + head[1] + len(END)
-                    at = data.find(MAGIC, at + 1)
+                    data = f.read_at(min(end + AHEAD, size) - start, start)
+                    if (last := data.rfind(MAGIC, 0, end - start + len(MAGIC) - 1)) >= 0:
+                        data = with_header(f, data, start, last, size)
+                nexts = {at: head + length + len(END) for at, head, length in headers(data, 0, end - start)}
                 leave: dict[int, int | None] = {}
                 for off in reversed(nexts):  # successors lie behind, so theirs are known
                     to = nexts[off]
@@ -128,15 +145,17 @@ def read(spark: SparkSession, folder: str, block: int = BLOCK, payloads: bool =
                 fs, name = filesystem(_whole_uri(path))
                 with fs.open_input_file(name) as f:
                     end = min((start // block + 1) * block, size)
-                    data, at, out = f.read_at(min(end + LONGEST_HEADER, size) - start, start), 0, []
+                    data, at, out = f.read_at(min(end + AHEAD, size) - start, start), 0, []
                     while start + at < end and data.startswith(MAGIC, at):
-                        if not (head := header_at(data, at)):
+                        data = with_header(f, data, start, at, size)
+                        if not (found := next(headers(data, at, at + 1), None)):
                             break
-                        stop = head[0] + head[1]
+                        _, head, length = found
+                        stop = head + length
                         if start + stop + len(END) > size:
                             break
-                        body = data[head[0] : stop] if stop <= len(data) else data[head[0] :] + f.read_at(stop - len(data), start + len(data))
-                        out.append(_record(data[at : head[0]], body, payloads))
+                        body = data[head:stop] if stop <= len(data) else data[head:] + f.read_at(stop - len(data), start + len(data))
+                        out.append(_record(data[at:head], body, payloads))
                         at = stop + len(END)
                 if out:
                     columns = list(zip(*out))

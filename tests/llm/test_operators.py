@@ -178,6 +178,17 @@ def test_warc(spark):
         assert {bytes(r.payload) for r in got if r.type == "response"} == {big.encode(), b"", b"short"}
 
 
+def test_warc_long_url(spark):
+    """Headers of any length are read whole, wherever blocks end, and the records after them too."""
+    urls = {1: "http://a/", 2: "http://b/" + " é" * 40_000, 3: "http://c/", 4: "http://d/WARC/1.1" + "d" * 300_000, 5: "http://e/"}
+    pages = spark.createDataFrame([(i, u, f"page {i} WARC/1.1 " * 9_000) for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    folder = warc.write(pages, warc.fresh_path(spark, "test"))
+    for block in (50_000, 1 << 20):
+        got = warc.read(spark, folder, block).collect()
+        assert sorted((r.page_id, r.uri, r.intact) for r in got) == [(i, u.replace(" ", "%20"), True) for i, u in urls.items()]
+        assert all(bytes(r.payload).decode() == f"page {r.page_id} WARC/1.1 " * 9_000 for r in got)
+
+
 def test_tokens_and_packing(spark, docs):
     from tokenizers import Tokenizer
 
