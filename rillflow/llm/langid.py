@@ -1,8 +1,9 @@
 """Language ID by Bayesian evidence fusion.
 
 Evidence: the text's likelihood (hashed letter trigrams), the language that the markup declares, the
-suffix of the address, and the host's prior. The classifier of texts is fitted on at most SAMPLE rows
-(those of least key hash that declare a language); the conditional tables of declared language and
+suffix of the address, and the host's prior. The languages are all codes that any row declares. The
+classifier of texts is fitted on the SAMPLE rows of least key hash that declare a language, and for
+each language on its EACH rows of least key hash besides; the conditional tables of declared language and
 suffix, and the priors, are grouped sums over all rows of the text posteriors. Priors are smoothed
 down the hierarchy: all rows, registered domain, host.
 
@@ -18,16 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import text_runs
 from .common import broadcast_if, lower_ascii, written
 
-SAMPLE, MOST_LANGUAGES, BUCKETS = 6000, 64, 1 << 16
+SAMPLE, EACH, BUCKETS = 6000, 50, 1 << 16
+BLOCK = 8  # languages whose trigram tables are dense at a time
 TEMPER = 1 / 3  # neighbouring trigrams share two of three letters
 STRENGTH = 20.0  # rows that a parent's prior counts as
-MOST_HOSTS = 500_000
+MOST_HOSTS, MOST_CELLS = 500_000, 32_000_000
 LEAST_CONFIDENCE = 0.5
 
 LETTERS = np.full(256, 32, np.uint8)
@@ -54,7 +56,18 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 @dataclass
 class TextModel:
     languages: list[str]
-    logs: np.ndarray  # BUCKETS x languages, float32
+    cells: np.ndarray  # language * BUCKETS + bucket of the counts, sorted
+    counts: np.ndarray
+
+    def blocks(self):
+        """(first language, BUCKETS x languages log probabilities, float32) of BLOCK languages after BLOCK languages."""
+        for first in range(0, len(self.languages), BLOCK):
+            n = min(BLOCK, len(self.languages) - first)
+            a, b = np.searchsorted(self.cells, [first * BUCKETS, (first + n) * BUCKETS])
+            counts = np.zeros((n, BUCKETS))
+            counts.reshape(-1)[self.cells[a:b] - first * BUCKETS] = self.counts[a:b]
+            counts = counts.T + 0.5
+            yield first, np.log(counts / counts.sum(0)).astype(np.float32)
 
     def evidence(self, text: pa.Array) -> np.ndarray:
         """Tempered log likelihoods, NaN where the text has no trigram."""
@@ -63,41 +76,51 @@ class TextModel:
             bucket, bounds = _trigrams(data, offsets)
             some = np.flatnonzero(np.diff(bounds))
             if some.size:
-                out[first + some] = np.add.reduceat(self.logs[bucket], bounds[some], axis=0, dtype=np.float64) * TEMPER
+                for at, logs in self.blocks():
+                    out[first + some, at : at + logs.shape[1]] = np.add.reduceat(logs[bucket], bounds[some], axis=0, dtype=np.float64) * TEMPER
         return out
 
 
-def fit_text(df: DataFrame, key: str, text: str, declared: str, most: int = SAMPLE) -> TextModel:
-    """Trigram tables from a bounded sample: the rows of least hash of `key` that declare a language."""
-    told = df.where(F.col(declared).isNotNull())
-    edge = told.select(F.xxhash64(key).alias("h")).orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
-    if edge is None:
-        return TextModel([], np.zeros((BUCKETS, 0), np.float32))
+def fit_text(df: DataFrame, key: str, text: str, declared: str, most: int = SAMPLE, each: int = EACH) -> TextModel:
+    """Trigram tables of all declared languages, from the `most` rows of least hash of `key` and the `each` of every language."""
+    told = df.where(F.col(declared).isNotNull()).withColumn("_h", F.xxhash64(key))
+    nth = F.row_number().over(Window.partitionBy("_name").orderBy("_h"))
+    edges = told.select(F.col(declared).alias("_name"), "_h").withColumn("_nth", nth).where(F.col("_nth") <= each)
+    edges = written(edges.groupBy("_name").agg(F.max("_h").alias("_edge")), "edges")
+    names = sorted(r["_name"] for r in edges.select("_name").toLocalIterator())
+    if not names:
+        return TextModel([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    edge = told.select("_h").orderBy("_h").limit(most).agg(F.max("_h").alias("h")).first()["h"]
+    place = df.sparkSession.sparkContext.broadcast({k: i for i, k in enumerate(names)})
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names = batch.column(1).to_pylist()
+            of = np.array([place.value[k] for k in batch.column(1).to_pylist()], np.int64)
             for first, last, data, offsets in text_runs(batch.column(0)):
                 bucket, bounds = _trigrams(data, offsets)
-                for i in range(last - first):
-                    counts = sums.setdefault(names[first + i], np.zeros(BUCKETS + 1, np.int64))
-                    counts[:-1] += np.bincount(bucket[bounds[i] : bounds[i + 1]], minlength=BUCKETS)
-                    counts[-1] += 1
-            if len(sums) > 4 * MOST_LANGUAGES:
-                sums = dict(sorted(sums.items(), key=lambda kv: -kv[1][-1])[: 2 * MOST_LANGUAGES])
-        for name, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["name", "counts"])
-
-    sample = told.where(F.xxhash64(key) <= edge).select(text, declared).limit(2 * most).repartition(4)
-    total: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(count, "name string, counts binary").toLocalIterator():
-        total[r["name"]] = total.get(r["name"], 0) + np.frombuffer(r["counts"], "<i8")
-    names = sorted(sorted(total, key=lambda k: (-total[k][-1], k))[:MOST_LANGUAGES])
-    if not names:
-        return TextModel([], np.zeros((BUCKETS, 0), np.float32))
-    counts = np.stack([total[k][:-1] for k in names], 1) + 0.5
-    return TextModel(names, np.log(counts / counts.sum(0)).astype(np.float32))
+                cells, counts = np.unique(np.repeat(of[first:last], np.diff(bounds)) * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts.astype(np.int64))], ["cell", "n"])
+
+    near = told.join(broadcast_if(edges, len(names), MOST_HOSTS), F.col(declared) == F.col("_name")).where(F.col("_h") <= F.greatest("_edge", F.lit(edge)))
+    sample = near.select(text, declared).limit(2 * (most + each * len(names))).repartition(4)
+    table = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, counts = (table[c].to_numpy() for c in ("cell", "n"))
+    order = np.argsort(cells)
+    return TextModel(names, cells[order], counts[order])
+
+
+def _dense(sums: pa.Array, n: int) -> np.ndarray:
+    """rows x n: lists of (language, sum) as dense rows; null is all zeros."""
+    sums = sums.combine_chunks() if isinstance(sums, pa.ChunkedArray) else sums
+    out = np.zeros((len(sums), n))
+    flat = sums.flatten()
+    lengths = sums.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(sums)), lengths), flat.field("i").to_numpy()] = flat.field("p").to_numpy()
+    return out
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
 def identify(df: DataFrame, key: str, text, declared, host=None, domain=None, suffix=None, least: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -125,42 +148,61 @@ def identify(df: DataFrame, key: str, text, declared, host=None, domain=None, su
         offsets = pa.array(np.arange(len(logs) + 1, dtype=np.int32) * len(held.value.languages))
         return pa.ListArray.from_arrays(offsets, pa.array(logs.ravel()), mask=pa.array(bad))
 
-    n, every = len(names), range(len(names))
+    n, value = len(names), F.struct("i", "p")
     seen = tagged.select("_declared", "_host", "_domain", "_suffix", evidence("_text").alias("_e")).where("_e IS NOT NULL")
     seen = seen.select("*", F.transform("_e", F.exp).alias("_x"))
     seen = seen.select("*", F.aggregate("_x", F.lit(0.0), lambda a, x: a + x).alias("_s"))
-    sums = [F.sum(F.col("_x")[i] / F.col("_s")).alias(f"_p{i}") for i in every]
-    cube = written(seen.groupBy("_host", "_domain", "_suffix", "_declared").agg(*sums), "languages")
-    again = [F.sum(f"_p{i}").alias(f"_p{i}") for i in every]
-    total = cube.agg(*again).first()
-    total = np.array([total[i] or 0.0 for i in every])
+    share = seen.select("_host", "_domain", "_suffix", "_declared", "_s", F.posexplode("_x").alias("i", "x")).where("x > 0")
+    cube = written(share.groupBy("_host", "_domain", "_suffix", "_declared", "i").agg(F.sum(F.col("x") / F.col("_s")).alias("p")), "languages")
+
+    def by(*columns: str) -> DataFrame:
+        """Sums of the cube by columns and language, where the columns are filled."""
+        rows = cube.where(" AND ".join([f"{c} IS NOT NULL" for c in columns] or ["true"]))
+        return rows.groupBy(*columns, "i").agg(F.sum("p").alias("p"))
+
+    def by_language(rows: DataFrame) -> np.ndarray:
+        out = np.zeros(n)
+        for r in rows.groupBy("i").agg(F.sum("p").alias("p")).toLocalIterator():
+            out[r["i"]] = r["p"]
+        return out
+
+    total = by_language(by())
     overall = (total + 1) / (total.sum() + n)
 
     def conditional(column: str) -> DataFrame:
         """Log P(value | language), add-one smoothed, of the values that are seen."""
-        by = cube.where(F.col(column).isNotNull()).groupBy(column).agg(*again)
-        rest = by.agg(*again, F.count(F.lit(1)).alias("k")).first()
-        return by.select(F.col(column).alias("_v"), F.array(*[F.log((F.col(f"_p{i}") + 1.0) / F.lit((rest[i] or 0.0) + (rest["k"] or 0) + 1.0)) for i in every]).alias("_l"))
+        rows = by(column)
+        rest = by_language(rows) + rows.select(column).distinct().count() + 1
 
-    def smoothed(sums: DataFrame, of: str, parent) -> list:
-        rows = sum((F.col(f"{of}{i}") for i in every), F.lit(0.0))
-        return [(F.coalesce(F.col(f"{of}{i}"), F.lit(0.0)) + STRENGTH * parent[i]) / (F.coalesce(rows, F.lit(0.0)) + STRENGTH) for i in every]
+        @F.arrow_udf("array<double>")
+        def logs(sums: pa.Array) -> pa.Array:
+            return _lists(np.log((_dense(sums, n) + 1) / rest))
 
-    domains = cube.where("_domain IS NOT NULL").groupBy("_domain").agg(*[F.sum(f"_p{i}").alias(f"_d{i}") for i in every]).withColumnRenamed("_domain", "_dk")
-    hosts = cube.where("_host IS NOT NULL").groupBy("_host").agg(F.max("_domain").alias("_domain"), *[F.sum(f"_p{i}").alias(f"_h{i}") for i in every])
+        return rows.groupBy(column).agg(F.collect_list(value).alias("_p")).select(F.col(column).alias("_v"), logs("_p").alias("_l"))
+
+    @F.arrow_udf("array<double>")
+    def smoothed(host: pa.Array, domain: pa.Array) -> pa.Array:
+        own, above = _dense(host, n), _dense(domain, n)
+        above = (above + STRENGTH * overall) / (above.sum(1, keepdims=True) + STRENGTH)
+        return _lists(np.log((own + STRENGTH * above) / (own.sum(1, keepdims=True) + STRENGTH)))
+
+    domains = by("_domain").groupBy(F.col("_domain").alias("_dk")).agg(F.collect_list(value).alias("_d"))
+    names_of = cube.where("_host IS NOT NULL").groupBy(F.col("_host").alias("_v")).agg(F.max("_domain").alias("_domain"))
+    hosts = by("_host").groupBy("_host").agg(F.collect_list(value).alias("_h")).join(names_of, F.col("_host") == F.col("_v"))
     hosts = hosts.join(domains, hosts["_domain"] == domains["_dk"], "left")
-    above = smoothed(hosts, "_d", [F.lit(float(x)) for x in overall])
-    prior = written(hosts.select(F.col("_host").alias("_v"), F.array(*[F.log(x) for x in smoothed(hosts, "_h", above)]).alias("_prior")), "priors")
+    prior = written(hosts.select("_v", smoothed("_h", "_d").alias("_prior")), "priors")
     told = written(conditional("_declared"), "declared")
     ends = written(conditional("_suffix"), "suffixes")
     out = tagged.withColumn("_e", evidence("_text"))
     for column, table, name in (("_host", prior, "_prior"), ("_declared", told, "_l1"), ("_suffix", ends, "_l2")):
         table = table.toDF("_v", name)
-        out = out.join(broadcast_if(table, table.count(), MOST_HOSTS), out[column] == table["_v"], "left").drop("_v")
-    zero = F.array(*[F.lit(0.0)] * n)
+        out = out.join(broadcast_if(table, table.count(), min(MOST_HOSTS, MOST_CELLS // n)), out[column] == table["_v"], "left").drop("_v")
+    zero = F.array_repeat(F.lit(0.0), n)
     top = F.array(*[F.lit(float(np.log(x))) for x in overall])
-    logs = [F.coalesce("_e", zero)[i] + F.coalesce("_prior", top)[i] + F.coalesce("_l1", zero)[i] + F.coalesce("_l2", zero)[i] for i in every]
-    out = out.withColumn("_all", F.array(*logs))
+    logs = F.coalesce("_e", zero)
+    for found in (F.coalesce("_prior", top), F.coalesce("_l1", zero), F.coalesce("_l2", zero)):
+        logs = F.zip_with(logs, found, lambda a, b: a + b)
+    out = out.withColumn("_all", logs)
     best = F.array_max("_all")
     langs = F.array(*[F.lit(x) for x in names])
     out = out.select(

@@ -258,3 +258,14 @@ def test_language(spark, docs):
     pages = langid.identify_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     share = pages.select((F.col("language") == F.regexp_extract("html", 'lang="([a-z]+)"', 1)).cast("int").alias("x")).agg(F.avg("x")).first()[0]
     assert share > 0.95
+
+
+def test_language_many(spark):
+    """More languages than a block of tables holds, one of them in few rows of many: each row gets its own."""
+    rng = np.random.default_rng(7)
+    words = {f"{chr(97 + c // 26)}{chr(97 + c % 26)}": ["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(30)] for c in range(90)}
+    rows = [(c, " ".join(rng.choice(w, 30))) for c, w in words.items() for _ in range(3 if c == "dl" else 100)]
+    docs = spark.createDataFrame([(i, t, c, f"s{i % 5}") for i, (c, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = langid.identify(docs, "doc_id", "text", F.col("lang"), F.col("source")).collect()
+    assert len(got) == len(rows)
+    assert all(r.language == r.text_language == r.lang and r.accepted for r in got)
