@@ -7,10 +7,13 @@ each language on its EACH rows of least key hash besides; the conditional tables
 suffix, and the priors, are grouped sums over all rows of the text posteriors. Priors are smoothed
 down the hierarchy: all rows, registered domain, host.
 
-Defined results: a text without a letter trigram gives no text evidence, and its row isn't accepted;
-null or unseen declared language, suffix or host is missing evidence, not evidence against; ties go to
-the language first in the alphabet; with no declared language anywhere, every language is null and
-nothing is accepted. Columns of the input that are named like a result column give way.
+Defined results: a text without a letter trigram gives no text evidence, and its row isn't accepted,
+nor is one that even its best language makes less likely than trigrams drawn at random (a script or
+language of which no text was learnt); null or unseen declared language, suffix or host is missing
+evidence, not evidence against; ties go to the language first in the alphabet; with no declared language
+anywhere, every language is null and nothing is accepted; an empty table gives no rows, and equal rows
+are separate rows. Columns of the input that are named like a result column give way in identify();
+keep_identified() hands on the input's columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import text_runs
-from .common import broadcast_if, lower_ascii, written
+from .common import broadcast_if, col_of, lower_ascii, shipped, unused_prefix, written
 
 SAMPLE, EACH, BUCKETS = 6000, 50, 1 << 16
 BLOCK = 8  # languages whose trigram tables are dense at a time
@@ -32,6 +35,8 @@ STRENGTH = 20.0  # rows that a parent's prior counts as
 MOST_HOSTS, MOST_CELLS = 500_000, 32_000_000
 LEAST_CONFIDENCE = 0.5
 
+RESULTS = ("language", "confidence", "text_language", "accepted")
+
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[65:91] = LETTERS[97:123] = np.arange(97, 123)
 LETTERS[128:] = np.arange(128, 256)
@@ -69,29 +74,33 @@ class TextModel:
             counts = counts.T + 0.5
             yield first, np.log(counts / counts.sum(0)).astype(np.float32)
 
-    def evidence(self, text: pa.Array) -> np.ndarray:
-        """Tempered log likelihoods, NaN where the text has no trigram."""
-        out = np.full((len(text), len(self.languages)), np.nan)
+    def evidence(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tempered log likelihoods, NaN where the text has no trigram; and whether the best beats random trigrams."""
+        out, fits = np.full((len(text), len(self.languages)), np.nan), np.zeros(len(text), bool)
         for first, _, data, offsets in text_runs(text):
             bucket, bounds = _trigrams(data, offsets)
             some = np.flatnonzero(np.diff(bounds))
             if some.size:
                 for at, logs in self.blocks():
                     out[first + some, at : at + logs.shape[1]] = np.add.reduceat(logs[bucket], bounds[some], axis=0, dtype=np.float64) * TEMPER
-        return out
+                fits[first + some] = out[first + some].max(1) > -np.log(BUCKETS) * TEMPER * np.diff(bounds)[some]
+        return out, fits
 
 
 def fit_text(df: DataFrame, key: str, text: str, declared: str, most: int = SAMPLE, each: int = EACH) -> TextModel:
-    """Trigram tables of all declared languages, from the `most` rows of least hash of `key` and the `each` of every language."""
-    told = df.where(F.col(declared).isNotNull()).withColumn("_h", F.xxhash64(key))
-    nth = F.row_number().over(Window.partitionBy("_name").orderBy("_h"))
-    edges = told.select(F.col(declared).alias("_name"), "_h").withColumn("_nth", nth).where(F.col("_nth") <= each)
-    edges = written(edges.groupBy("_name").agg(F.max("_h").alias("_edge")), "edges")
-    names = sorted(r["_name"] for r in edges.select("_name").toLocalIterator())
+    """Trigram tables of all declared languages, from the `most` rows of least hash and the `each` of every language.
+
+    The hash is of key, text and language, and equal rows count once, so no tie is broken at random.
+    """
+    told = df.where(F.col(declared).isNotNull()).select(F.col(text).alias("text"), F.col(declared).alias("name"), F.xxhash64(key, text, declared).alias("h"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("h"))
+    edges = told.select("name", "h").withColumn("nth", nth).where(F.col("nth") <= each)
+    edges = written(edges.groupBy("name").agg(F.max("h").alias("edge")), "edges")
+    names = sorted(r["name"] for r in edges.select("name").toLocalIterator())
     if not names:
         return TextModel([], np.zeros(0, np.int64), np.zeros(0, np.int64))
-    edge = told.select("_h").orderBy("_h").limit(most).agg(F.max("_h").alias("h")).first()["h"]
-    place = df.sparkSession.sparkContext.broadcast({k: i for i, k in enumerate(names)})
+    edge = told.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
+    place = shipped(df.sparkSession, {k: i for i, k in enumerate(names)})
 
     def count(batches):
         for batch in batches:
@@ -101,8 +110,8 @@ def fit_text(df: DataFrame, key: str, text: str, declared: str, most: int = SAMP
                 cells, counts = np.unique(np.repeat(of[first:last], np.diff(bounds)) * BUCKETS + bucket, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts.astype(np.int64))], ["cell", "n"])
 
-    near = told.join(broadcast_if(edges, len(names), MOST_HOSTS), F.col(declared) == F.col("_name")).where(F.col("_h") <= F.greatest("_edge", F.lit(edge)))
-    sample = near.select(text, declared).limit(2 * (most + each * len(names))).repartition(4)
+    near = told.join(broadcast_if(edges, MOST_HOSTS), "name").where(F.col("h") <= F.greatest("edge", F.lit(edge)))
+    sample = near.groupBy("h").agg(F.first("text").alias("text"), F.first("name").alias("name")).select("text", "name")
     table = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells, counts = (table[c].to_numpy() for c in ("cell", "n"))
     order = np.argsort(cells)
@@ -129,31 +138,40 @@ def identify(df: DataFrame, key: str, text, declared, host=None, domain=None, su
     Two narrow passes over the texts: one for the grouped sums, one to score. The sums are joined by
     host; the table of hosts is broadcast up to MOST_HOSTS rows, and joined by a shuffle beyond.
     """
-    spark = df.sparkSession
+    own = [c for c in df.columns if c.lower() not in RESULTS]
+    found, judged = _judged(df, own, key, text, declared, host, domain, suffix, least)
+    return found.select(*map(col_of, own), *[judged[c].alias(c) for c in RESULTS])
+
+
+def _judged(df: DataFrame, own: list[str], key: str, text, declared, host, domain, suffix, least: float) -> tuple[DataFrame, dict]:
+    """df's columns `own` beside others of unused names, and the columns of the result by name."""
+    spark, p = df.sparkSession, unused_prefix(df)
     none = F.lit(None).cast("string")
-    own = [c for c in df.columns if c.lower() not in ("language", "confidence", "text_language", "accepted")]
+    c_text, c_declared, c_host, c_domain, c_suffix, c_e, c_found = (p + x for x in ("text", "declared", "host", "domain", "suffix", "e", "found"))
     code = F.nullif(F.split(lower_ascii(F.trim(declared)), "[-_]").getItem(0), F.lit(""))
-    tagged = df.select(*own, F.col(text).alias("_text") if isinstance(text, str) else text.alias("_text"), code.alias("_declared"), (none if host is None else host).alias("_host"), (none if domain is None else domain).alias("_domain"), (none if suffix is None else suffix).alias("_suffix"))
-    model = fit_text(tagged, key, "_text", "_declared")
+    given = [(none if x is None else x).alias(c) for x, c in ((host, c_host), (domain, c_domain), (suffix, c_suffix))]
+    tagged = df.select(*map(col_of, own), (col_of(text) if isinstance(text, str) else text).cast("string").alias(c_text), code.alias(c_declared), *given)
+    model = fit_text(tagged.select(col_of(key).alias("key"), F.col(c_text).alias("text"), F.col(c_declared).alias("declared")), "key", "text", "declared")
     names = model.languages
     if not names:
-        return df.select(*own, none.alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.lit(False).alias("accepted"))
-    held = spark.sparkContext.broadcast(model)
+        return tagged, {"language": none, "confidence": F.lit(0.0), "text_language": none, "accepted": F.lit(False)}
+    held = shipped(spark, model)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("logs array<double>, fits boolean")
     def evidence(column: pa.Array) -> pa.Array:
-        logs = held.value.evidence(column)
+        logs, fits = held.value.evidence(column)
         bad = np.isnan(logs[:, 0])
         logs[~bad] -= logs[~bad].max(1, keepdims=True)
         offsets = pa.array(np.arange(len(logs) + 1, dtype=np.int32) * len(held.value.languages))
-        return pa.ListArray.from_arrays(offsets, pa.array(logs.ravel()), mask=pa.array(bad))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(logs.ravel()), mask=pa.array(bad)), pa.array(fits)], ["logs", "fits"])
 
     n, value = len(names), F.struct("i", "p")
-    seen = tagged.select("_declared", "_host", "_domain", "_suffix", evidence("_text").alias("_e")).where("_e IS NOT NULL")
+    keys = ["_host", "_domain", "_suffix", "_declared"]
+    seen = tagged.select(*[F.col(c).alias(k) for c, k in zip((c_host, c_domain, c_suffix, c_declared), keys)], evidence(c_text)["logs"].alias("_e")).where("_e IS NOT NULL")
     seen = seen.select("*", F.transform("_e", F.exp).alias("_x"))
     seen = seen.select("*", F.aggregate("_x", F.lit(0.0), lambda a, x: a + x).alias("_s"))
-    share = seen.select("_host", "_domain", "_suffix", "_declared", "_s", F.posexplode("_x").alias("i", "x")).where("x > 0")
-    cube = written(share.groupBy("_host", "_domain", "_suffix", "_declared", "i").agg(F.sum(F.col("x") / F.col("_s")).alias("p")), "languages")
+    share = seen.select(*keys, "_s", F.posexplode("_x").alias("i", "x")).where("x > 0")
+    cube = written(share.groupBy(*keys, "i").agg(F.sum(F.col("x") / F.col("_s")).alias("p")), "languages")
 
     def by(*columns: str) -> DataFrame:
         """Sums of the cube by columns and language, where the columns are filled."""
@@ -193,24 +211,25 @@ def identify(df: DataFrame, key: str, text, declared, host=None, domain=None, su
     prior = written(hosts.select("_v", smoothed("_h", "_d").alias("_prior")), "priors")
     told = written(conditional("_declared"), "declared")
     ends = written(conditional("_suffix"), "suffixes")
-    out = tagged.withColumn("_e", evidence("_text"))
-    for column, table, name in (("_host", prior, "_prior"), ("_declared", told, "_l1"), ("_suffix", ends, "_l2")):
-        table = table.toDF("_v", name)
-        out = out.join(broadcast_if(table, table.count(), min(MOST_HOSTS, MOST_CELLS // n)), out[column] == table["_v"], "left").drop("_v")
+    out = tagged.withColumn(c_found, evidence(c_text))
+    found = []
+    for column, table in ((c_host, prior), (c_declared, told), (c_suffix, ends)):
+        table = table.toDF(column + "_v", column + "_l")
+        out = out.join(broadcast_if(table, min(MOST_HOSTS, MOST_CELLS // n)), out[column] == table[column + "_v"], "left").drop(column + "_v")
+        found.append(F.col(column + "_l"))
     zero = F.array_repeat(F.lit(0.0), n)
     top = F.array(*[F.lit(float(np.log(x))) for x in overall])
-    logs = F.coalesce("_e", zero)
-    for found in (F.coalesce("_prior", top), F.coalesce("_l1", zero), F.coalesce("_l2", zero)):
-        logs = F.zip_with(logs, found, lambda a, b: a + b)
-    out = out.withColumn("_all", logs)
-    best = F.array_max("_all")
+    logs = F.coalesce(F.col(c_found)["logs"], zero)
+    for more, missing in zip(found, (top, zero, zero)):
+        logs = F.zip_with(logs, F.coalesce(more, missing), lambda a, b: a + b)
+    every = p + "all"
+    out = out.withColumn(every, logs).withColumn(c_e, F.col(c_found)["logs"])
+    best = F.array_max(every)
     langs = F.array(*[F.lit(x) for x in names])
-    out = out.select(
-        *own, langs[F.array_position("_all", best).cast("int") - 1].alias("language"),
-        (F.lit(1.0) / F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - best))).alias("confidence"),
-        langs[F.array_position("_e", F.array_max("_e")).cast("int") - 1].alias("text_language"), F.col("_e").isNotNull().alias("_some"),
-    )
-    return out.withColumn("accepted", F.col("_some") & (F.col("confidence") >= least)).drop("_some")
+    name_of = lambda of: F.get(langs, F.array_position(of, F.array_max(of)).cast("int") - 1)
+    out = out.withColumn(p + "sure", F.lit(1.0) / F.aggregate(every, F.lit(0.0), lambda a, x: a + F.exp(x - best)))
+    fits = F.col(c_e).isNotNull() & F.coalesce(F.col(c_found)["fits"], F.lit(False))
+    return out, {"language": name_of(every), "confidence": F.col(p + "sure"), "text_language": name_of(c_e), "accepted": fits & (F.col(p + "sure") >= least)}
 
 
 HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[A-Za-z0-9#]+;"
@@ -227,5 +246,5 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is accepted, with their columns: lang is what is declared, source is the host."""
-    found = identify(docs.select("*", F.lit(None).alias("_keep")), "doc_id", "text", F.col("lang"), F.col("source"))
-    return found.where("accepted").select(*docs.columns)
+    found, judged = _judged(docs, docs.columns, "doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), None, None, LEAST_CONFIDENCE)
+    return found.where(judged["accepted"]).select(*map(col_of, docs.columns))
