@@ -4,7 +4,8 @@ Writing: one record per page. Of equal payloads of at least SHORTEST bytes, the
 page_id are responses and the others revisits that refer to it; shorter payloads are always responses.
 Null html is the empty payload; a null url has no target; control characters and spaces in urls are
 escaped; a null page_id is carried, and counts as smaller than any other. Rows of equal page_id and
-payload are all responses.
+payload are all responses. Urls and payloads of any length are written and read whole; an empty table
+writes no record. Only page_id, url and html are read, whatever other columns there are.
 
 Reading: files are cut into blocks. A task finds every record magic of its block, also those inside
 payloads, takes each for a record, and emits the candidate with the offset at which its chain of
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, drop_written, filesystem, fresh_path, written
+from .common import broadcast_if, drop_written, filesystem, fresh_path, join_known, written
 
 SHORTEST = 1000
 BLOCK, AHEAD = 4 << 20, 64 << 10  # bytes; AHEAD is read beyond a block at first, and more where a header goes on
@@ -40,8 +41,8 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
     page = F.col("page_id").cast("long")
     rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).alias("n"), F.sha1(html.cast("binary")).alias("digest"))
     equal = rows.where(F.col("n") >= SHORTEST).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1 AND first IS NOT NULL").select(F.col("digest").alias("_d"), "first")
-    equal = written(equal, "payloads")
-    rows = rows.join(broadcast_if(equal, equal.count(), MOST_GROUPS), (rows["digest"] == equal["_d"]) & (rows["n"] >= SHORTEST), "left")
+    rows = join_known(rows, written(equal.withColumnRenamed("_d", "digest"), "payloads"), ["digest"], MOST_GROUPS, "left")
+    rows = rows.withColumn("first", F.when(F.col("n") >= SHORTEST, F.col("first")))
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(NEWLINE))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
