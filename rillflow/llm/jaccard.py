@@ -1,7 +1,8 @@
 """Near-duplicate texts by Jaccard similarity of word shingles, with token-combination prefixes.
 
-A text is the set of its distinct five-word shingles (hashed to 64 bits), and equal sets count as one
-node, told by a 64-bit fingerprint. Shingles are ordered rare ones first, then frequent ones, each by
+A text is the set of its distinct five-word shingles (of 64-bit hashes, which no structure of the words
+makes equal), and equal sets count as one node, told by a 64-bit fingerprint; a second one of each row
+shows whether two sets share a fingerprint, and then all is done again with another seed. Shingles are ordered rare ones first, then frequent ones, each by
 hash. Of x's n shingles a partner misses at most m = n - ceil(0.8 n). x indexes a prefix such that
 singles of rare shingles, plus (in each class of frequent shingles) the shingles beyond the first,
 number m + 1: then any partner shares a rare shingle of both prefixes, or two frequent shingles of
@@ -20,19 +21,24 @@ keys that still hold several components, the pairs that no group held are then v
 So no link between components is lost, and a group of thousands of near copies costs about one star.
 
 Null, empty and wordless texts have no shingle and link with nothing; fewer than five words are one
-shingle. Equal rows are separate rows. Null doc_ids are carried; a component's id is its least doc_id.
+shingle. Equal rows are separate rows, and rows that share a doc_id, or have none, are told apart by
+their sets. Null doc_ids are carried; a component's id is its least doc_id. Very long texts are one set
+like others; an empty table gives no rows. doc_id is an integer. Other columns may have any names.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import U, mix, shingle_sets, text_runs
-from .common import broadcast_if, drop_written, written
+from .common import broadcast_if, col_of, drop_written, join_known, shipped, unused_prefix, written
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -42,15 +48,15 @@ SPLIT, SHARE, TURNS = 512, 0.3, 2
 MOST_ROWS, MOST_ENDS = 1_000_000, 2_000_000
 
 
-def fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def fingerprints(h: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each set; 0 for the empty set."""
     n = np.diff(bounds)
     some = np.flatnonzero(n)
     out = np.zeros(len(n), np.uint64)
     if some.size:
-        at = bounds[some]
+        at, salt = bounds[some], mix(np.array([seed], np.uint64))
         with np.errstate(over="ignore"):
-            out[some] = mix(np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), at) ^ mix(np.bitwise_xor.reduceat(h, at) + n[some].astype(np.uint64)))
+            out[some] = mix(np.add.reduceat(mix(h ^ salt ^ U(0x5851F42D4C957F2D)), at) ^ mix(np.bitwise_xor.reduceat(h, at) + n[some].astype(np.uint64)))
             out[some[out[some] == 0]] = 1
     return out
 
@@ -59,17 +65,17 @@ def _signed(x) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
-def _batches(batches, k: int, column: int = 0):
+def _batches(batches, k: int, seed: int, column: int = 0):
     """(batch, first row, row after the last, shingles, bounds, fingerprints) of runs of rows."""
     for batch in batches:
         for first, last, data, offsets in text_runs(batch.column(column)):
             h, bounds = shingle_sets(data, offsets, k)
-            yield batch, first, last, h, bounds, fingerprints(h, bounds)
+            yield batch, first, last, h, bounds, fingerprints(h, bounds, seed)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: (doc_id, fingerprint, size) of each row; kind 1: (shingle, count in a chunk, 0) of those met twice there."""
-    kind = ["kind", "a", "b", "c"]
+def _sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """kind 0: (doc_id, fingerprint, size, second fingerprint) of each row; kind 1: (shingle, count in a chunk, 0, 0) of those met twice there."""
+    kind = ["kind", "a", "b", "c", "d"]
 
     def task(batches):
         seen: set[int] = set()
@@ -78,11 +84,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         def flush():
             values, counts = np.unique(np.concatenate(kept), return_counts=True)
             values, counts = values[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int8)), _signed(values), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(values), np.int32))], kind)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int8)), _signed(values), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(values), np.int32)), pa.array(np.zeros(len(values), np.int64))], kind)
 
-        for batch, first, last, h, bounds, fp in _batches(batches, k):
+        for batch, first, last, h, bounds, fp in _batches(batches, k, seed):
             n = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(1).slice(first, last - first).cast(pa.int64()), _signed(fp), pa.array(n.astype(np.int32))], kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(1).slice(first, last - first).cast(pa.int64()), _signed(fp), pa.array(n.astype(np.int32)), _signed(fingerprints(h, bounds, ~seed & 0xFFFFFFFF))], kind)
             new = np.zeros(len(n), bool)
             for i, f in enumerate(fp.tolist()):
                 if f not in seen:
@@ -96,7 +102,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         if kept:
             yield flush()
 
-    return written(docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).mapInArrow(task, "kind byte, a long, b long, c int"), "sets")
+    return written(docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long")).mapInArrow(task, "kind byte, a long, b long, c int, d long"), "sets")
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +152,12 @@ def prefix_keys(h: np.ndarray, level: np.ndarray, percent: int) -> list[np.ndarr
     return out
 
 
-def _keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(common)
+def _keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int, seed: int) -> DataFrame:
+    held = shipped(docs.sparkSession, common)
 
     def task(batches):
         (often, frequent), seen = held.value, set()
-        for _, _, _, h, bounds, fp in _batches(batches, k):
+        for _, _, _, h, bounds, fp in _batches(batches, k, seed):
             level = np.zeros(len(h), np.int8)
             if len(often) and len(h):
                 at = np.minimum(np.searchsorted(often, h), len(often) - 1)
@@ -197,23 +203,31 @@ def _stars(keys: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(task, "key long, fp long, pivot long"), "stars")
 
 
-def _nodes(docs: DataFrame, k: int) -> DataFrame:
-    """(fp, n, sketch, text) of docs (text, _fp) whose fingerprint is _fp, written once.
+def _nodes(docs: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
+    """(fp, n, sketch, text) of the sets of docs (text) whose fp is in wanted, written once: one row each, however often a set is met.
 
     The sketch has the shingles in the lowest quarter of hashes, cut to 24 bits, little-endian.
     """
 
     def task(batches):
-        for batch, first, last, h, bounds, fp in _batches(batches, k):
+        part, seen = TaskContext.get().partitionId(), set()
+        for batch, first, last, h, bounds, fp in _batches(batches, k, seed):
             low = h < U(1 << 62)
             upto = np.concatenate([[0], np.cumsum(low)])[bounds] * 3
             data = (h[low] >> U(38)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
             sketch = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data)])
-            asked = batch.column(1).slice(first, last - first)
-            out = pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.diff(bounds).astype(np.int32)), sketch, batch.column(0).slice(first, last - first).cast(pa.string())], ["fp", "n", "sketch", "text"])
-            yield out.filter(pa.array(fp.view(np.int64) == asked.to_numpy()))
+            new = [f and f not in seen and not seen.add(f) for f in fp.tolist()]
+            out = pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.diff(bounds).astype(np.int32)), sketch, batch.column(0).slice(first, last - first).cast(pa.string()), pa.array(np.full(len(fp), part, np.int32))], ["fp", "n", "sketch", "text", "part"])
+            yield out.filter(pa.array([bool(x) for x in new], pa.bool_()))
 
-    return written(docs.mapInArrow(task, "fp long, n int, sketch binary, text string"), "nodes")
+    found = docs.select("text").mapInArrow(task, "fp long, n int, sketch binary, text string, part int")
+    found = written(found.join(broadcast_if(wanted, MOST_ROWS), "fp", "left_semi"), "nodes")
+    again = found.groupBy("fp").agg(F.min("part").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", "least")
+    again = written(again, "again")
+    if again.isEmpty():
+        return found.drop("part")
+    first = found.join(broadcast_if(again, MOST_ROWS), "fp", "left").where("least IS NULL OR part = least")
+    return written(first.select("fp", "n", "sketch", "text"), "nodes")
 
 
 def _sketch(data) -> np.ndarray:
@@ -226,13 +240,13 @@ def _sketch(data) -> np.ndarray:
 def _only(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The nodes that are an end of a pair: others don't move."""
     ends = written(pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct(), "ends")
-    return nodes.join(broadcast_if(ends, ends.count(), MOST_ENDS), "fp", "left_semi")
+    return nodes.join(broadcast_if(ends, MOST_ENDS), "fp", "left_semi")
 
 
 def _sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sizes allow enough to be shared."""
     sizes = written(nodes.select("fp", "n"), "sizes")
-    sizes = broadcast_if(sizes, sizes.count(), MOST_ROWS)
+    sizes = broadcast_if(sizes, MOST_ROWS)
     rows = pairs.join(sizes.toDF("v", "nv"), "v").join(sizes.toDF("u", "nu"), "u")
     return written(rows.where((100 + percent) * F.least("nu", "nv").cast("long") >= percent * (F.col("nu").cast("long") + F.col("nv"))).select("u", "v"), "sized")
 
@@ -347,16 +361,16 @@ def _grouped(batches, width: int):
         yield key, held
 
 
-def _never_compared(open_: DataFrame, done: DataFrame) -> DataFrame:
-    """(u, v): pairs of different labels in open keys that no earlier group held together."""
+def _never_compared(open_: DataFrame, done: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of different labels in open keys that no earlier group held together and that sizes and sketches allow."""
 
     def task(batches):
-        for key, rows in _grouped(batches, 7):
-            part, fp, label = (np.array([r[i] for r in rows]) for i in range(3))
+        for key, rows in _grouped(batches, 9):
+            part, fp, label, n = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 4))
             met = [r[3] or [] for r in rows]
-            new = label[:, None] != label[None, :]
-            if key[1] != key[2]:
-                new &= part[:, None] != part[None, :]
+            new = _allowed(_asked(key, part, label, np.zeros(len(rows), bool)), n, [r[5] for r in rows], percent)
+            if not new.any():
+                continue
             if any(met):
                 ids, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in met]), return_inverse=True)
                 holds = np.zeros((len(rows), len(ids)), np.float32)
@@ -369,7 +383,9 @@ def _never_compared(open_: DataFrame, done: DataFrame) -> DataFrame:
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     past = done.groupBy("fp").agg(F.collect_set("met").alias("met"))
     group = ["key", "one", "two"]
-    sent = _dealt(open_.join(past, "fp", "left"), sizes).select(*group, "part", "fp", "label", "met").repartition(*group).sortWithinPartitions(*group)
+    slim = nodes.select("fp", F.col("n").cast("long").alias("n"), "sketch")
+    rows = _dealt(open_.join(past, "fp", "left"), sizes).join(slim, "fp")
+    sent = rows.select(*group, "part", "fp", "label", "met", "n", "sketch").repartition(*group).sortWithinPartitions(*group)
     return sent.mapInArrow(task, "u long, v long").distinct()
 
 
@@ -397,6 +413,20 @@ def _asked(key: tuple, part: np.ndarray, label: np.ndarray, old: np.ndarray) ->
     return asked & (part[:, None] != part[None, :]) if key[1] != key[2] else asked
 
 
+def _allowed(asked: np.ndarray, n: np.ndarray, sketches: list, percent: int) -> np.ndarray:
+    """Those of the asked pairs of a group that may be similar enough, by sizes and sketches."""
+    asked = asked & ((100 + percent) * np.minimum(n[:, None], n[None, :]) >= percent * (n[:, None] + n[None, :]))
+    some = np.flatnonzero(asked.any(1))
+    if not some.size:
+        return asked
+    low = [np.unique(_sketch(sketches[i])) for i in some]
+    m = n[some]
+    rest = m - np.array([len(x) for x in low])  # equal cut hashes of one set count here
+    most = _shared(low) + np.minimum(rest[:, None], rest[None, :])
+    asked[np.ix_(some, some)] &= (100 + percent) * most >= percent * (m[:, None] + m[None, :])
+    return asked
+
+
 def _screened(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The rows of groups that may have a similar partner in their group, by sizes and sketches; texts stay where they are."""
     columns = ["key", "one", "two", "part", "fp", "label", "old"]
@@ -404,17 +434,8 @@ def _screened(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def task(batches):
         for key, rows in _grouped(batches, 9):
             part, fp, label, old, n = (np.array([r[i] for r in rows]) for i in range(5))
-            asked = _asked(key, part, label, old)
-            asked &= (100 + percent) * np.minimum(n[:, None], n[None, :]) >= percent * (n[:, None] + n[None, :])
-            some = np.flatnonzero(asked.any(1))
-            if not some.size:
-                continue
-            sketches = [np.unique(_sketch(rows[i][5])) for i in some]
-            n = n[some]
-            rest = n - np.array([len(x) for x in sketches])  # equal cut hashes of one set count here
-            most = _shared(sketches) + np.minimum(rest[:, None], rest[None, :])
-            near = asked[np.ix_(some, some)] & ((100 + percent) * most >= percent * (n[:, None] + n[None, :]))
-            some = some[near.any(1)]
+            near = _allowed(_asked(key, part, label, old), n, [r[5] for r in rows], percent)
+            some = np.flatnonzero(near.any(1))
             if some.size:
                 k = [pa.array([key[0]] * len(some), pa.int64()), *(pa.array([x] * len(some), pa.int32()) for x in key[1:])]
                 yield pa.RecordBatch.from_arrays([*k, pa.array(part[some].astype(np.int32)), pa.array(fp[some]), pa.array(label[some]), pa.array(old[some])], columns)
@@ -465,37 +486,40 @@ def _compared(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return written(sent.mapInArrow(task, "u long, v long"), "links")
 
 
-def fingerprint_column(k: int = WORDS):
+def fingerprint_column(k: int = WORDS, seed: int = 0):
     @F.arrow_udf(T.LongType())
     def fingerprint(text: pa.Array) -> pa.Array:
-        out = [fingerprints(*shingle_sets(data, offsets, k)) for _, _, data, offsets in text_runs(text)]
+        out = [fingerprints(*shingle_sets(data, offsets, k), seed) for _, _, data, offsets in text_runs(text)]
         return _signed(np.concatenate(out) if out else np.zeros(0, np.uint64))
 
     return fingerprint
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, fingerprint, label) of each row of docs (doc_id, text).
-
-    label tells components apart, also those whose component_id is equal or null; wordless rows have none.
-    """
-    both = _sets(docs, k)
-    rows = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("c").alias("n"))
-    stars = _stars(_keys(docs, _common(both), k, percent))
-    sizes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+def _near(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
+    """What near_duplicates() returns, and the seed of its fingerprints."""
+    for seed in count():
+        both = _sets(docs, k, seed)
+        rows = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), F.col("c").alias("n"), F.col("d").alias("second"))
+        sets = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m"), (F.min("second") < F.max("second")).alias("clash"))
+        sets = written(sets, "fingerprints")
+        if sets.where("clash").isEmpty():
+            break
+    rows = rows.drop("second")
+    stars = _stars(_keys(docs, _common(both), k, percent, seed))
     pairs = written(stars.select(F.col("pivot").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    ids = written(ends.join(sizes, "fp").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "ids")
-    ids = broadcast_if(ids, ids.count(), MOST_ROWS)
+    ends = written(ends.join(sets.select("fp", "doc_id"), "fp"), "ends")
+    # only rows with the id of a set's first row are hashed again; which of them hold a wanted set is seen then
+    ids = broadcast_if(written(ends.select(F.col("doc_id").alias("id")).distinct(), "ids"), MOST_ROWS)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = _nodes(found.join(ids, found["doc_id"].eqNullSafe(ids["_id"])).select("text", "_fp"), k)
+    nodes = _nodes(found.join(ids, found["doc_id"].eqNullSafe(ids["id"]), "left_semi"), ends.select("fp"), k, seed)
     texts = nodes.select("fp", "text")
     links = _verified(_possible(pairs, nodes, percent), texts, k, percent)
     label = components(links)
     members, done = stars.select("key", "fp"), None
 
     def open_keys() -> DataFrame:
-        named = members.join(broadcast_if(label, label.count(), MOST_ROWS), members["fp"] == label["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
+        named = members.join(broadcast_if(label, MOST_ROWS), members["fp"] == label["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
         return _open_keys(named, done)
 
     for turn in range(TURNS):
@@ -506,31 +530,51 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         label = components(links)
         met = groups.select("fp", F.col("key").alias("met")).distinct()
         done = written(met if done is None else done.unionByName(met), "done")
-    rest = _possible(_never_compared(open_keys(), done), nodes, percent)
+    rest = _possible(_never_compared(open_keys(), done, nodes, percent), nodes, percent)
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, k, percent))
         label = components(links)
-    named = rows.join(broadcast_if(label, label.count(), MOST_ROWS), rows["fp"] == label["node"], "left").select("doc_id", "fp", "n", F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("label"))
-    named = written(named, "labels")
-    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").select("label", "component_id")
-    out = named.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("fp").alias("fingerprint"), "label")
+    # components are told once for each set; its rows, however many, look them up
+    linked = join_known(sets.select("fp", "doc_id"), label.select(F.col("node").alias("fp"), F.col("component").alias("label")), ["fp"], MOST_ROWS)
+    linked = written(linked, "linked")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = join_known(linked.select("fp", "label"), written(least, "least"), ["label"], MOST_ROWS).select("fp", "label", "component_id")
+    alone = sets.where("m > 1").join(broadcast_if(linked.select("fp"), MOST_ROWS), "fp", "left_anti").select("fp", F.col("fp").alias("label"), F.col("doc_id").alias("component_id"))
+    out = join_known(rows, written(linked.unionByName(alone), "labels"), ["fp"], MOST_ROWS, "left")
+    component = F.when(F.col("label").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component, F.col("fp").alias("fingerprint"), F.when(F.col("n") > 0, F.coalesce("label", "fp")).alias("label")), seed
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, fingerprint, label) of each row of docs (doc_id, text).
+
+    label tells components apart, also those whose component_id is equal or null; wordless rows have none.
+    """
+    return _near(docs, k, percent)[0]
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component of near duplicates (that of least doc_id), with its columns; wordless texts all stay."""
-    found = written(near_duplicates(docs).select("doc_id", "component_id", "fingerprint", "label"), "components")
-    drop = found.where("doc_id IS NULL AND component_id IS NOT NULL OR doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("fingerprint").alias("_f")).distinct()
-    tagged = docs.withColumn("_fingerprint", fingerprint_column()(F.col("text").cast("string")))
-    drop = broadcast_if(drop, drop.count(), MOST_ROWS)
-    left = tagged.join(drop, tagged["doc_id"].eqNullSafe(drop["_d"]) & (tagged["_fingerprint"] == drop["_f"]), "left_anti")
+    found, seed = _near(docs, WORDS, PERCENT)
+    found = written(found.select("doc_id", "component_id", "fingerprint", "label"), "components")
+    drop = found.where("doc_id IS NULL AND component_id IS NOT NULL OR doc_id <> component_id").select(F.col("doc_id").alias("d"), F.col("fingerprint").alias("f")).distinct()
+    drop = broadcast_if(written(drop, "dropped"), MOST_ROWS)
+    p = unused_prefix(docs)
+    fp, label = p + "fingerprint", p + "label"
+    tagged = docs.withColumn(fp, fingerprint_column(WORDS, seed)(F.col("text").cast("string")))
+    left = tagged.join(drop, tagged["doc_id"].cast("long").eqNullSafe(drop["d"]) & (tagged[fp] == drop["f"]), "left_anti")
     firsts = found.where("label IS NOT NULL AND doc_id <=> component_id")
     again = written(firsts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label"), "again")
-    if many := again.count():  # components of which several rows have the least doc_id, or none has any
-        again = written(firsts.join(broadcast_if(again, many, MOST_ROWS), "label").select(F.col("label").alias("_label"), F.col("fingerprint").alias("_f")).distinct(), "again")
-        again = broadcast_if(again, again.count(), MOST_ROWS)
-        once = Window.partitionBy("_label").orderBy("_fingerprint", "text")
-        same = left["_fingerprint"] == again["_f"]
-        twice = left.join(again, same).withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*left.columns)
-        left = left.join(again, same, "left_anti").unionByName(twice)
-    return left.select(*docs.columns)
+    own = list(map(col_of, docs.columns))
+    if again.isEmpty():
+        return left.select(*own)
+    # components of which several rows have the least doc_id, or none has any: one of their rows, without sorting them
+    again = join_known(firsts.select("label", "fingerprint").distinct(), again, ["label"], MOST_ROWS)
+    again = written(again.select(F.col("label").alias(label), F.col("fingerprint").alias(fp)), "again")
+    row = F.min_by(F.struct(*own), F.struct(col_of(fp), F.col("text"), F.hash(*_hashable(docs)))).alias(p + "row")
+    once = join_known(left, again, [fp], MOST_ROWS).groupBy(label).agg(row).select(p + "row.*")
+    return join_known(left, again.select(fp), [fp], MOST_ROWS, "left_anti").select(*own).unionByName(once)
+
+
+def _hashable(df: DataFrame) -> list:
+    return [col_of(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
