@@ -15,17 +15,11 @@ CHUNK_BYTES = 2 << 20
 U = np.uint64
 
 
-def _byte_table() -> np.ndarray:
-    table = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-    table[65:91] = table[97:123]  # A-Z count as a-z
-    return table
-
-
-BYTE_VALUE = _byte_table()
-BASE = U(0x9E3779B97F4A7C15)
-BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.int64)
+LOWER[65:91] = LOWER[97:123]  # A-Z count as a-z
+PLACES = 64  # of a word's bytes, whose values are in a table
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,6 +29,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _values(places: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A random number for each place in a word and byte there."""
+    return mix(mix((places.astype(np.uint64) << U(8)) + letters.astype(np.uint64) + U(0x9E3779B97F4A7C15)) ^ U(0xD6E8FEB86659FD93))
+
+
+VALUES = _values(np.repeat(np.arange(PLACES), 256), np.tile(np.arange(256), PLACES))
+
+
 def text_runs(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets in them) of runs of rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -68,18 +70,23 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z."""
+    """A 64-bit hash of each word, A-Z as a-z: the sum of a random number for each place and byte (tabulation hashing).
+
+    Two different words are equal by chance only, whatever their structure.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = np.full(len(data), BASE, np.uint64)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers, out=sums[1:])
-    back = np.full(len(data), BASE_INV, np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    n = ends - starts
+    first = np.cumsum(n) - n
+    place = np.arange(first[-1] + n[-1]) - np.repeat(first, n)
+    letters = LOWER[data[place + np.repeat(starts, n)]]
+    if int(n.max()) <= PLACES:
+        values = VALUES[place << 8 | letters]
+    else:
+        values = VALUES[np.minimum(place, PLACES - 1) << 8 | letters]
+        far = np.flatnonzero(place >= PLACES)
+        values[far] = _values(place[far], letters[far])
+    return mix(np.add.reduceat(values, first) + n.astype(np.uint64))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
