@@ -59,26 +59,41 @@ class Reader:
         self._at += out.nbytes
         return out
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many ids before place i of a level go on: the directory's count and the bits of one block."""
+        _, bitmap, ranks = self.levels[level]
+        block = i // BLOCK
+        count = int(ranks[block]) + int(np.bitwise_count(bitmap[block * BLOCK // 8 : i >> 3]).sum())
+        return count + (int(bitmap[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else count
+
     def get(self, i: int) -> int:
         """The id at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = shift = 0
-        for chunks, bitmap, ranks in self.levels:
+        for level, (chunks, bitmap, _) in enumerate(self.levels):
             value |= int(chunks[i]) << shift
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK
-            before = bitmap[block * BLOCK // 8 : i >> 3]
-            i = int(ranks[block]) + int(np.bitwise_count(before).sum()) + int(bitmap[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
-            shift += BITS
+            i, shift = self._rank(level, i), shift + BITS
         return value
 
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """The ids at places a to before b: on each level they are a stretch between two ranks, so nothing else is decoded."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        out = np.zeros(b - a, np.uint32)
+        at, shift = np.arange(b - a), 0
+        for level, (chunks, bitmap, _) in enumerate(self.levels):
+            if a == b:
+                break
+            out[at] |= chunks[a:b].astype(np.uint32) << np.uint32(shift)
+            bits = np.unpackbits(bitmap[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 :][: b - a].view(bool)
+            first = self._rank(level, a)
+            at, shift = at[bits], shift + BITS
+            a, b = first, first + len(at)
+        return out
+
     def ids(self) -> np.ndarray:
         """All ids."""
-        out = np.zeros(self.n, np.uint32)
-        at, shift = np.arange(self.n), 0
-        for chunks, bitmap, _ in self.levels:
-            out[at] |= chunks.astype(np.uint32) << np.uint32(shift)
-            at, shift = at[np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)], shift + BITS
-        return out
+        return self.slice(0, self.n)

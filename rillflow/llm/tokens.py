@@ -1,7 +1,9 @@
 """Token ids of whole texts in files of directly addressable codes, in ascending order of doc_id.
 
 Null texts are empty; every document ends with the end id. Null doc_ids come first; rows of equal
-doc_id lie next to each other, by text. An empty table writes no file. Only doc_id and text are read.
+doc_id lie next to each other, by a hash of their text, and may be spread over several files. Texts of
+any length are encoded whole. An empty table writes no file. Only doc_id and text are read, whatever
+other columns there are; doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -59,12 +61,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(task, "part int, file int, path string, n_docs long, n_ids long"), "manifest")
+    # the hash and the row's number keep rows of one doc_id, or of none, from meeting in one task
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "hash", "row"]
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.select("doc_id", "text").mapInArrow(task, "part int, file int, path string, n_docs long, n_ids long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files that the manifest lists."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, addressed one by one in the files that the manifest lists."""
 
     def task(batches):
         for batch in batches:
@@ -72,8 +77,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 fs, name = filesystem(path)
                 with fs.open_input_stream(name) as f:
                     reader = dac.Reader(f.read())
-                ids, at = reader.ids().astype("<u4").tobytes(), reader.starts
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                at = reader.starts
+                crc = [zlib.crc32(reader.slice(a, b).astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(reader.doc_ids, pa.int64()), "start": pa.array(first + at[:-1]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
