@@ -6,8 +6,10 @@ is drawn row by row on the driver (one number per partition and shard, no data).
 permutes its rows and cuts them by its row of the matrix, the rows are exchanged, and each shard
 permutes again. No Python touches a row.
 
-Any column may be null; equal rows are separate rows, each with its own slot; an empty table gives
-no rows. The outcome depends on seed and on how the input is split into partitions.
+Any column may be null and of any length; equal rows are separate rows, each with its own slot; an empty
+table gives no rows; columns may have any names. The outcome depends on seed and on how the input is
+split into partitions. Partitions beyond MOST_PARTS are planned together, so the matrix and what is
+broadcast (a row for each partition or shard) stay small, however large the input.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if, col_of, unused_prefix, written
 
 BUCKET_ROWS = 200_000
+MOST_PARTS, MOST_SHARDS = 4096, 65_536
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -58,21 +61,22 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> list[list[i
     return matrix
 
 
-def _ranked(df: DataFrame, key: str, order: list) -> DataFrame:
-    """df with _rank: the place from 0 of each row within key by order, of which the first is a random long.
+def _ranked(df: DataFrame, key: str, order: list[str], p: str) -> DataFrame:
+    """df with a column p + rank: the place from 0 of each row within key by order, of which the first is a random long.
 
     A key's rows are cut by the random number into ranges of about BUCKET_ROWS, ranked range by range,
     and moved up by the counts of the ranges before: no task holds a whole key, however large.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    cut = sizes.select(F.col(key).alias("_k"), F.greatest(F.ceil(F.col("_n") / BUCKET_ROWS), F.lit(1)).cast("long").alias("_buckets"))
-    rows = df.join(F.broadcast(cut), df[key] == cut["_k"]).drop("_k")
-    rows = rows.withColumn("_bucket", F.least(F.floor((F.col("_random") / F.lit(2.0**63)) * F.col("_buckets")), F.col("_buckets") - 1))
-    before = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1)
-    rows = rows.join(before, (rows[key] == before["_k"]) & (rows["_bucket"] == before["_b"]))
-    return rows.withColumn("_rank", F.col("_in") + F.col("_before")).drop("_k", "_b", "_n", "_in", "_before", "_bucket", "_buckets")
+    k, n, buckets, bucket, b, before, place = (p + x for x in ("k", "n", "buckets", "bucket", "b", "before", "in"))
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    cut = sizes.select(F.col(key).alias(k), F.greatest(F.ceil(F.col(n) / BUCKET_ROWS), F.lit(1)).cast("long").alias(buckets))
+    rows = df.join(broadcast_if(cut, MOST_SHARDS), df[key] == cut[k]).drop(k)
+    rows = rows.withColumn(bucket, F.least(F.floor((F.col(order[0]) / F.lit(2.0**63)) * F.col(buckets)), F.col(buckets) - 1))
+    steps = rows.groupBy(key, bucket).agg(F.count(F.lit(1)).alias(n))
+    steps = steps.select(F.col(key).alias(k), F.col(bucket).alias(b), (F.sum(n).over(Window.partitionBy(key).orderBy(bucket)) - F.col(n)).alias(before))
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(key, bucket).orderBy(*order)) - 1)
+    rows = rows.join(steps, (rows[key] == steps[k]) & (rows[bucket] == steps[b]))
+    return rows.withColumn(p + "rank", F.col(place) + F.col(before)).drop(k, b, n, place, before, bucket, buckets)
 
 
 def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -82,24 +86,27 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     place that each row came from, so a lost executor repeats the same choices. Carry ids rather than
     texts where only the order is wanted. Columns named shard or slot give way to the new ones.
     """
-    df = df.select(*[c for c in df.columns if c.lower() not in ("shard", "slot")])
-    rows = written(df.select(*df.columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "shuffle")
-    positive = lambda salt: F.shiftrightunsigned(F.xxhash64(F.col("_row"), F.lit(seed), F.lit(salt)), 1)
-    counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not 0 < shards <= MOST_SHARDS:
+        raise ValueError(f"{shards} shards; 1 to {MOST_SHARDS} can be planned")
+    own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    p = unused_prefix(df)
+    part, row, random, edges = p + "part", p + "row", p + "random", p + "edges"
+    kept = list(map(col_of, own))
+    rows = written(df.select(*kept, F.pmod(F.spark_partition_id(), F.lit(MOST_PARTS)).alias(part), F.monotonically_increasing_id().alias(row)), "shuffle")
+    positive = lambda salt: F.shiftrightunsigned(F.xxhash64(F.col(row), F.lit(seed), F.lit(salt)), 1)
+    counts = {r[part]: r["n"] for r in rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = sorted(counts)
-    matrix = communication_matrix([counts[p] for p in parts], shards, seed)
-    plan = []
-    for p, row in zip(parts, matrix):
-        edge = 0
-        edges = [edge := edge + x for x in row]
-        plan.append((p, edges))
-    plan = df.sparkSession.createDataFrame(plan, "_p int, _edges array<long>")
-    local = _ranked(rows.withColumn("_random", positive("local")), "_part", ["_random", "_row"])
-    sent = local.join(F.broadcast(plan), local["_part"] == plan["_p"])
-    shard = reduce(lambda rest, j: F.when(F.col("_rank") < F.col("_edges")[j], F.lit(j)).otherwise(rest), reversed(range(shards - 1)), F.lit(shards - 1))
-    sent = sent.select(*df.columns, "_row", shard.cast("int").alias("shard"))
-    placed = _ranked(sent.withColumn("_random", positive("shard")), "shard", ["_random", "_row"])
-    return placed.select(*df.columns, "shard", F.col("_rank").cast("long").alias("slot"))
+    plan = [(x, np.cumsum(row).tolist()) for x, row in zip(parts, communication_matrix([counts[x] for x in parts], shards, seed))]
+    plan = df.sparkSession.createDataFrame(plan, f"{p}p int, {edges} array<long>")
+    local = _ranked(rows.withColumn(random, positive("local")), part, [random, row], p)
+    sent = local.join(broadcast_if(plan, MOST_PARTS), local[part] == plan[p + "p"])
+    if shards <= 64:
+        shard = reduce(lambda rest, j: F.when(F.col(p + "rank") < F.col(edges)[j], F.lit(j)).otherwise(rest), reversed(range(shards - 1)), F.lit(shards - 1))
+    else:
+        shard = F.size(F.filter(edges, lambda e: e <= F.col(p + "rank")))
+    sent = sent.select(*kept, row, shard.cast("int").alias("shard"))
+    placed = _ranked(sent.withColumn(random, positive("shard")), "shard", [random, row], p)
+    return placed.select(*kept, "shard", F.col(p + "rank").cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
