@@ -4,15 +4,20 @@ Lengths are integers up to `capacity`, so all planning is done on their histogra
 numbers at the driver) and on ranges of ranks, whatever the number of documents:
 1. lengths above capacity / SMALL, sorted down, are cut into GROUPS groups of equal cardinality, and
    rounded up to their group's greatest;
-2. over these few sizes, configurations that fill a sequence best are chosen by dynamic programming
-   and repeated as often as the groups last;
+2. over these few sizes, a linear program tells how often each configuration (what fills one sequence)
+   is used: configurations enter it one by one, each the best at the program's present prices, found by
+   dynamic programming; whole numbers of them are taken, and the rest of the groups is filled by the
+   configurations that fill a sequence best. The plan without the program is made too, and the one of
+   fewer sequences is kept;
 3. the documents of a group, by exact length, take its places, which leaves each sequence's true rest;
 4. the small lengths go down from the largest, each to the fullest sequence that has room.
 The plan is a table of ranges (length, first rank, count) -> (first sequence, offset), which each
 row looks up by its length and its rank among the rows of that length.
 
 Null texts are empty and have the end id alone. Documents longer than capacity are cut into whole
-sequences behind a shorter first piece. Rows of equal doc_id are separate documents.
+sequences behind a shorter first piece. Rows of equal doc_id, or of none, are separate documents; which
+of equally long pieces goes where follows the order of the input's partitions. An empty table gives no
+rows. Only doc_id and text are read, whatever other columns there are; doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import broadcast_if, shipped, written
 from .tokenizer import encoder
 
 GROUPS, SMALL = 256, 8
+ROUNDS, CLOSE = 250, 1e-3  # of the program; it ends when it is proven to be so close to its best
 TEXTS = 1024  # encoded at once
+MOST_BROADCAST = 500_000  # rows (length, part)
 
 
 @dataclass
@@ -92,7 +99,50 @@ def _best_configuration(sizes: list[int], left: list[int], first: int, capacity:
     return out
 
 
+def _priced(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size fill a sequence at the greatest price; sizes ascend."""
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for c in range(int(sizes[0]), capacity + 1):
+        m = upto[c]
+        value = best[c - sizes[:m]] + prices[:m]
+        k = value.argmax()
+        best[c], taken[c] = (value[k], k) if value[k] > best[c - 1] else (best[c - 1], -1)
+    out, c = np.zeros(len(sizes), np.int64), capacity
+    while c > 0:
+        if taken[c] < 0:
+            c -= 1
+        else:
+            out[taken[c]] += 1
+            c -= int(sizes[taken[c]])
+    return out
+
+
+def _program(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(configuration, times) of a linear program of fewest sequences that hold the demand, times rounded down."""
+    order = np.argsort(sizes, kind="stable")
+    s, n = np.array(sizes)[order], np.array(demand, float)[order]
+    basis = np.diag(capacity // s).astype(float)
+    for _ in range(ROUNDS):
+        prices = np.linalg.solve(basis.T, np.ones(len(s)))
+        new = _priced(s, np.maximum(prices, 0), capacity)
+        if new @ prices <= 1 + CLOSE:
+            break
+        times, change = np.linalg.solve(basis, np.column_stack([n, new])).T
+        ratio = np.where(change > 1e-9, np.maximum(times, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        if not np.isfinite(ratio).any():
+            break
+        basis[:, int(ratio.argmin())] = new
+    times = np.linalg.solve(basis, n)
+    return [({int(order[g]): int(basis[g, k]) for g in np.flatnonzero(basis[:, k])}, int(times[k] + 1e-6)) for k in range(len(s)) if times[k] >= 1 - 1e-6]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Of the plans with and without the program, the one of fewer sequences."""
+    return min((_plan(histogram, capacity, by_program) for by_program in (True, False)), key=lambda p: p.sequences)
+
+
+def _plan(histogram: dict[int, int], capacity: int, by_program: bool) -> Plan:
     out = Plan(capacity)
     counts = {n: c for n, c in histogram.items() if c}
     if whole := counts.pop(capacity, 0):
@@ -113,36 +163,45 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
             groups[-1].append([n, rank, k])
             rank, c, room = rank + k, c - k, room - k
     sizes, left = [g[0][0] for g in groups], [sum(r[2] for r in g) for g in groups]
-    for first in range(len(groups)):
-        while left[first]:
-            used = _best_configuration(sizes, left, first, capacity)
-            times = min(left[g] // k for g, k in used.items())
-            start, out.sequences = out.sequences, out.sequences + times
-            slots = []
-            for g in sorted(used):
-                for _ in range(used[g]):
-                    need, runs = times, []
-                    while need:
-                        run = groups[g][0]
-                        k = min(need, run[2])
-                        runs.append((run[0], run[1], k))
-                        run[1], run[2], need = run[1] + k, run[2] - k, need - k
-                        if not run[2]:
-                            groups[g].pop(0)
-                    slots.append(runs)
-                left[g] -= times * used[g]
-            edges = sorted({0, *(e for runs in slots for e in np.cumsum([r[2] for r in runs]).tolist())})
-            at = [[0, 0] for _ in slots]  # run, rows used of it
-            for a, b in zip(edges[:-1], edges[1:]):
-                offset = 0
-                for runs, place in zip(slots, at):
-                    n, rank, k = runs[place[0]]
-                    out.rows.append((n, rank + place[1], b - a, start + a, offset))
-                    offset += n
-                    place[1] += b - a
-                    if place[1] == k:
-                        place[:] = [place[0] + 1, 0]
-                out.leave(capacity - offset, start + a, b - a)
+
+    def uses():
+        """Configurations and how often each is used now, until the groups are empty."""
+        for used, times in _program(sizes, left, capacity) if by_program and groups else ():
+            times = min(times, *(left[g] // k for g, k in used.items()))
+            if times:
+                yield used, times
+        for first in range(len(groups)):
+            while left[first]:
+                used = _best_configuration(sizes, left, first, capacity)
+                yield used, min(left[g] // k for g, k in used.items())
+
+    for used, times in uses():
+        start, out.sequences = out.sequences, out.sequences + times
+        slots = []
+        for g in sorted(used):
+            for _ in range(used[g]):
+                need, runs = times, []
+                while need:
+                    run = groups[g][0]
+                    k = min(need, run[2])
+                    runs.append((run[0], run[1], k))
+                    run[1], run[2], need = run[1] + k, run[2] - k, need - k
+                    if not run[2]:
+                        groups[g].pop(0)
+                slots.append(runs)
+            left[g] -= times * used[g]
+        edges = sorted({0, *(e for runs in slots for e in np.cumsum([r[2] for r in runs]).tolist())})
+        at = [[0, 0] for _ in slots]  # run, rows used of it
+        for a, b in zip(edges[:-1], edges[1:]):
+            offset = 0
+            for runs, place in zip(slots, at):
+                n, rank, k = runs[place[0]]
+                out.rows.append((n, rank + place[1], b - a, start + a, offset))
+                offset += n
+                place[1] += b - a
+                if place[1] == k:
+                    place[:] = [place[0] + 1, 0]
+            out.leave(capacity - offset, start + a, b - a)
     for n in sorted((n for n in counts if n <= capacity // SMALL), reverse=True):
         rank, c = 0, counts[n]
         while c:
@@ -186,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     cut = pieces(docs, tokenizer, end_id, capacity)
     made = plan({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
     table = np.array(sorted(made.rows), np.int64).reshape(-1, 5)
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    held = shipped(docs.sparkSession, table)
 
     @F.arrow_udf(T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -197,5 +256,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
 
     sizes = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = cut.join(before, ["length", "_part"]).withColumn("_place", place("length", F.col("_nth") + F.col("_before")))
+    ranked = cut.join(broadcast_if(written(before, "before"), MOST_BROADCAST), ["length", "_part"]).withColumn("_place", place("length", F.col("_nth") + F.col("_before")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset")
