@@ -7,8 +7,10 @@ looked-up values, so scoring is vectorised bin additions.
 Null and empty texts have all-zero features and are scored like any other. Features come from the
 whole text alone. With no usable label the score is 1.0 for every row; with one class only, it is that
 class's share, smoothed. Label rows that repeat a doc_id count as often as they occur; null labels
-don't count. Training uses at most `most` labelled rows, those of least hash of doc_id; everything
-else covers all rows.
+don't count. Training uses at most `most` labelled rows, those of least hash of doc_id, and of their
+documents at most `most` rows by the same order, should ids repeat; everything else covers all rows.
+Equal rows get equal scores, and an empty table gives no rows. Other columns of the input may have
+any names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import text_runs, word_hashes, words
-from .common import written
+from .common import bounded, col_of, shipped, unused_prefix, written
 
 FEATURES = (
     "log_words", "mean_word", "std_word", "upper", "digit", "symbol", "punctuation", "high", "space",
@@ -171,19 +173,25 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(featured: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Gam:
-    """Learns from (doc_id, features) and (doc_id, quality), at most `most` of the rows that aren't held out."""
+def train(rows: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Gam:
+    """Learns from (doc_id, features), or (doc_id, text) of which only labelled rows are looked at, and (doc_id, quality).
+
+    At most `most` labels of rows that aren't held out, and as many rows with them, come to the driver.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col("quality") > 0).cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    rows = featured.select("doc_id", "features").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("_o"), "y", "features").collect()
-    rows.sort(key=lambda r: (r["_o"], r["y"]))
+    picked = written(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most), "labels")
+    of = "features" if "features" in rows.columns else "text"
+    found = rows.select("doc_id", of).join(F.broadcast(picked) if bounded(picked, most) else picked, "doc_id")
+    if of == "text":
+        found = found.select("doc_id", "y", feature_column(F.col("text").cast("string")).alias("features"))
+    rows = found.select(F.xxhash64("doc_id").alias("_o"), "y", "features").orderBy("_o", "y", "features").limit(most).collect()
     x = np.array([r["features"] for r in rows], np.float32).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], np.float64))
 
 
 def scorer(spark, model: Gam, of: str = "features"):
     """A column function: the score of a features column, or (of="text") of the text itself."""
-    held = spark.sparkContext.broadcast(model)
+    held = shipped(spark, model)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
@@ -198,11 +206,15 @@ def scorer(spark, model: Gam, of: str = "features"):
 
 def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, features) of every row, written once: training and scoring read it, the texts are read once."""
-    return written(docs.select("doc_id", feature_column("text").alias("features")), "features")
+    return written(docs.select("doc_id", feature_column(F.col("text").cast("string")).alias("features")), "features")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with their columns; texts aren't shuffled."""
-    model = train(featured(docs), labels)
-    score = scorer(docs.sparkSession, model, "text")
-    return docs.withColumn("_quality_score", score("text")).where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    """The rows of docs whose score reaches the threshold, with their columns; texts aren't shuffled.
+
+    Only the labelled documents' features are computed to learn from; all texts are read once to score.
+    """
+    model = train(docs.select("doc_id", "text"), labels)
+    score = unused_prefix(docs) + "score"
+    scored = docs.withColumn(score, scorer(docs.sparkSession, model, "text")(F.col("text").cast("string")))
+    return scored.where(F.col(score) >= threshold).select(*map(col_of, docs.columns))
