@@ -134,7 +134,7 @@ def test_decontamination(spark, docs):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "b x a y c"), (2, "a b c"), (3, "a q q q q q q b c")], "doc_id long, text string")
     queries = decontam.queries_of(spark.createDataFrame([(1, "a b c")], "item_id long, text string"))
-    ix = decontam.index(docs, queries)
+    ix = decontam.index(docs).of(queries)
     near = decontam.proximity(ix, queries, 2).join(ix.rows, "rid")
     assert {r.doc_id for r in near.collect()} == {1, 2}
 
