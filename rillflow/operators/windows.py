@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dsl import FieldSpec, parse_field
+from .lookup import small as broadcast_small
 
 
 def bucket(ts: Column, seconds: int) -> Column:
@@ -55,15 +56,47 @@ def top_with_others(windowed: DataFrame, fields: list[str], limit: int) -> DataF
 def gated(flows: DataFrame, intervals: DataFrame, ts: str = "ts") -> DataFrame:
     """Flows within any alert interval (start, end); an extended window counts only these.
 
-    Intervals are merged and dealt out by hour, so the range join is an equi-join.
+    Overlapping intervals are merged first, so that each flow meets one of an hour's intervals at most a
+    few times; then they are dealt out by hour, the range join is an equi-join, and they are broadcast
+    while a count shows them to be few.
     """
+    merged = broadcast_small(merge_intervals(intervals))
     hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
-    spans = intervals.select("start", "end", F.explode(F.sequence(hour(F.col("start")), hour(F.col("end")))).alias("_hour")).distinct()
+    spans = merged.select("start", "end", F.explode(F.sequence(hour(F.col("start")), hour(F.col("end")))).alias("_hour"))
     tagged = flows.withColumn("_hour", hour(F.col(ts)))
     on = (tagged["_hour"] == spans["_hour"]) & (tagged[ts] >= spans["start"]) & (tagged[ts] < spans["end"])
     return tagged.join(spans, on, "left_semi").drop("_hour")
 
 
+def merge_intervals(intervals: DataFrame) -> DataFrame:
+    """(start, end): the union of the intervals as disjoint ones.
+
+    Gaps and islands within days first, then over what is left of each day, so one task sees only a few
+    intervals for each day, however many there are.
+    """
+    day = F.explode(F.sequence(F.date_trunc("day", "start"), F.date_trunc("day", "end"), F.expr("INTERVAL 1 DAY"))).alias("day")
+    cut = intervals.where("start < end").select("start", "end", day)
+    stop = F.col("day") + F.expr("INTERVAL 1 DAY")
+    cut = cut.select("day", F.greatest("start", "day").alias("start"), F.least(F.col("end"), stop).alias("end")).where("start < end")
+    return _islands(_islands(cut, ["day"]).drop("day"), [])
+
+
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
+    marked = marked.withColumn("island", F.sum("new").over(w))
+    return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
 def decided(conditions: list[Column]) -> Column:
     """How many of the conditions hold: a device's mark."""
     return reduce(lambda a, b: a + b, [F.coalesce(c.cast("long"), F.lit(0)) for c in conditions], F.lit(0).cast("long"))
+
+
+def with_names(flows: DataFrame, fields: list[str]) -> DataFrame:
+    """The flows that a window counts: one that shows DNS names or addresses (or server names) skips flows without them."""
+    names = {parse_field(f).name for f in fields}
+    if names & {"dns_name", "dns_ips"}:
+        flows = flows.where(F.col("dns_name").isNotNull())
+    return flows.where(F.col("sni").isNotNull()) if "sni" in names else flows
