@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 from .functions import flow as fn
 from .schema import COUNTERS, FILTER_FIELDS
 
-TOKEN = re.compile(r"""\s+|//[^\n]*|/\*.*?\*/|(?P<string>'[^']*')|(?P<mac>(?:[0-9a-f]{2}:){5}[0-9a-f]{2}\b)|(?P<addr>\d+\.\d+\.\d+\.\d+(?:/\d+)?|[0-9a-f]*:[0-9a-f:.]+(?:/\d+)?)|(?P<range>(?:0x[0-9a-f]+|\d+)(?:\s*-\s*(?:0x[0-9a-f]+|\d+))?)|(?P<word>[a-z_][\w-]*)|(?P<sign>[(),])""", re.I | re.S | re.X)
-FUNCTIONS = {"div", "div_r", "div_l", "divr", "divl", "min", "tfstr", "portstr", "ppstr"}
+TOKEN = re.compile(
+    r"""\s+|//[^\n]*|/\*.*?\*/
+    |(?P<string>'[^']*')
+    |(?P<mac>(?:[0-9a-f]{2}:){5}[0-9a-f]{2}\b)
+    |(?P<addr>\d+\.\d+\.\d+\.\d+(?:/\d+)?|[0-9a-f]*:[0-9a-f:.]+(?:/\d+)?)
+    |(?P<range>(?:0x[0-9a-f]+|\d+)(?:\s*-\s*(?:0x[0-9a-f]+|\d+))?)
+    |(?P<word>[a-z_][\w-]*)
+    |(?P<sign>[(),])""",
+    re.I | re.S | re.X,
+)
+GEO = ("continent", "country_code", "country", "state", "city", "zip", "lat", "long")
+LOOKUPS = {*GEO, "asn", "asd"}
+FUNCTIONS = {"div", "div_r", "div_l", "divr", "divl", "min", "mfreq", "tfstr", "portstr", "ppstr"} | LOOKUPS
 KEYWORDS = {"and", "or", "not", "src", "dst", "asc", "desc"}
 
 
@@ -133,9 +144,34 @@ def _columns(rule: Rule) -> list[Column]:
     return [F.col(c) for c in ([src] if dst is None or rule.direction == "src" else [dst] if rule.direction == "dst" else [src, dst])]
 
 
+def lookup_column(rule: Rule) -> str:
+    """The column in which operators.enrich puts a function that needs a database or the whole table."""
+    return "__".join([rule.name, *[_column_name(a) for a in rule.args]])
+
+
+def _column_name(rule: Rule) -> str:
+    if rule.name not in FILTER_FIELDS:
+        raise FilterError(f"{rule.name!r} isn't a field")
+    _, src, dst = FILTER_FIELDS[rule.name]
+    if dst is not None and rule.direction is None:
+        raise FilterError(f"{rule.name} needs src or dst here")
+    return dst if rule.direction == "dst" and dst is not None else src
+
+
+def lookups(item) -> dict[str, Rule]:
+    """The functions of a filter's tree or a field that need a database or the whole table, by their column."""
+    if item is None or isinstance(item, (int, str)):
+        return {}
+    if isinstance(item, Node):
+        return {k: v for p in item.parts for k, v in lookups(p).items()}
+    return {lookup_column(item): item} if item.name in LOOKUPS or item.name == "mfreq" else {}
+
+
 def value_of(rule: Rule) -> Column:
     """The column of a field with a direction, a counter, or a function."""
     one = lambda r: _columns(r)[0]
+    if rule.name in LOOKUPS or rule.name == "mfreq":
+        return F.col(lookup_column(rule))
     a = rule.args
     if rule.name in ("div", "div_r", "div_l"):
         return getattr(fn, rule.name)(one(a[0]), one(a[1]), *a[2:])
@@ -157,6 +193,15 @@ def _in_prefix(col: Column, value: str, wide: bool) -> Column:
     return col.between(F.lit(lo), F.lit(hi)) if lo != hi else col == F.lit(lo)
 
 
+def kind_of(rule: Rule) -> str:
+    """ADDR4, ADDR6, RANGE (a number), MAC, STRING, or TEXT (a label, whatever its case)."""
+    if rule.name in FILTER_FIELDS:
+        return FILTER_FIELDS[rule.name][0]
+    if rule.name in GEO or rule.name == "asd":
+        return "STRING"
+    return "TEXT" if rule.name.endswith("str") else "RANGE"
+
+
 def compile_filter(tree, lists: dict[str, list[str]] | None = None) -> Column:
     """Two-valued: absent addresses and strings never match, absent numbers count as 0."""
     lists = lists or {}
@@ -170,7 +215,7 @@ def compile_filter(tree, lists: dict[str, list[str]] | None = None) -> Column:
         for p in parts[1:]:
             out = out & p if tree.op == "and" else out | p
         return out
-    kind = FILTER_FIELDS[tree.name][0] if tree.name in FILTER_FIELDS else "TEXT" if tree.name.endswith("str") else "RANGE"
+    kind = kind_of(tree)
     cols = _columns(tree) if tree.name in FILTER_FIELDS or tree.name in COUNTERS else [value_of(tree)]
     tests = []
     for what, value in tree.values:
@@ -180,6 +225,8 @@ def compile_filter(tree, lists: dict[str, list[str]] | None = None) -> Column:
                 for prefix in lists[value] if value in lists else [value]:
                     if (":" in prefix) == wide:
                         tests.append(F.coalesce(_in_prefix(col, prefix, wide), F.lit(False)))
+            elif kind == "STRING" and tree.name in LOOKUPS:
+                tests.append((col == F.lit(value)) & (col != F.lit("?")))
             elif kind in ("STRING", "MAC"):
                 tests.append(F.coalesce(col == F.lit(value if kind == "STRING" else value.lower()), F.lit(False)))
             elif kind == "TEXT":
@@ -204,24 +251,34 @@ def where(df, text: str, lists: dict[str, list[str]] | None = None):
 
 @dataclass
 class FieldSpec:
-    """One output field: its column, its name in tables, its order, and whether it is summed."""
+    """One output field: its column, its name in tables, its order, whether it is summed, and its kind."""
 
     column: Column
     name: str
     descending: bool
     summed: bool
+    kind: str = "RANGE"
+    rule: Rule | None = None
 
 
-def parse_field(text: str) -> FieldSpec:
-    """[src|dst] field, counter or function, then asc or desc; other characters of the name become _."""
+def parse_rule(text: str) -> tuple[Rule, str, bool]:
+    """The rule of a field's text, its name in tables, and whether it descends; other characters of the name become _."""
     words = text.split()
+    if not words:
+        raise FilterError("an empty field")
     order = words.pop().lower() if words[-1].lower() in ("asc", "desc") else "asc"
     body = " ".join(words)
     p = _Parser(body)
     rule = p.subject()
     if p.peek()[0] != "end":
         raise FilterError(f"unexpected {p.peek()[1]!r}")
-    return FieldSpec(value_of(rule), re.sub(r"[^0-9A-Za-z]", "_", body), order == "desc", rule.name in COUNTERS)
+    return rule, re.sub(r"[^0-9A-Za-z]", "_", body), order == "desc"
+
+
+def parse_field(text: str) -> FieldSpec:
+    """[src|dst] field, counter or function, then asc or desc."""
+    rule, name, descending = parse_rule(text)
+    return FieldSpec(value_of(rule), name, descending, rule.name in COUNTERS, kind_of(rule), rule)
 
 
 def describe(tree, depth: int = 0) -> str:

@@ -45,6 +45,11 @@ def _named(port: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in PORTS.items() for x in kv]), port.cast("int"))
 
 
+def service(port: Column) -> Column:
+    """The name of a known service; null for other ports."""
+    return _named(port)
+
+
 def portstr(port: Column) -> Column:
     """name (port) of a known service, else the port."""
     p = absent_as_zero(port)
@@ -76,5 +81,8 @@ def ipv4_str(x: Column) -> Column:
 
 
 def escaped(x: Column) -> Column:
-    """Quotes and backslashes as hexadecimal escapes, for text exports."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\", r"\\x5C"), "'", r"\\x27"), '"', r"\\x22")
+    """Control characters, quotes and backslashes as hexadecimal escapes, for text exports."""
+    codes = [92, *range(32), 39, 127]  # the backslash first: the escapes have one
+    for code in codes:
+        x = F.replace(x, F.lit(chr(code)), F.lit(f"\\x{code:02x}"))
+    return x
