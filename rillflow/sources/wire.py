@@ -1,21 +1,31 @@
 """Decoders of NetFlow v5, v9, IPFIX and sFlow v5 datagrams, and of DNS and TLS payloads, to flow records.
 
-decode() maps a table of datagrams (recv_ts, src_ip, payload) to flows. Templates of v9 and IPFIX are
+decode() maps a table of datagrams (recv_ts, src_ip, payload) to flows. Records of version 5, and of
+templates without variable fields, are decoded with numpy, all of a batch that have one layout at a
+time; only what has no fixed layout is taken apart record by record. Templates of v9 and IPFIX are
 collected first, so data that arrives before its template is decoded too; of several templates with
 one id, the latest at the datagram's time counts, else the earliest later one.
+
+A datagram that is cut short or has a wrong length ends early or gives nothing, and never an error;
+rejected() lists those that no decoder takes.
 """
 
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import BY_ELEMENT, FLOW_SCHEMA
 
+MOST_TEMPLATES = 200_000  # of all exporters, held by every task
 NAMES = [f.name for f in FLOW_SCHEMA.fields]
 # Struct layout of a version 5 record and the fields it fills.
 V5 = struct.Struct("!IIIHHIIIIHHBBBBHHBBH")
@@ -38,13 +48,17 @@ def value_of(element: int, data: bytes):
 
 
 def netflow5(data: bytes) -> Iterator[dict]:
-    count = struct.unpack_from("!H", data, 2)[0]
-    if len(data) != 24 + 48 * count:
+    if not _is_v5(data):
         return
+    count = struct.unpack_from("!H", data, 2)[0]
     for i in range(count):
         yield {k: v for k, v in zip(V5_FIELDS, V5.unpack_from(data, 24 + 48 * i)) if k}
 
 
+def _is_v5(data: bytes) -> bool:
+    return len(data) >= 24 and data[:2] == b"\x00\x05" and len(data) == 24 + 48 * struct.unpack_from("!H", data, 2)[0]
+
+
 def _sets(data: bytes, header: int) -> Iterator[tuple[int, bytes]]:
     at = header
     while at + 4 <= len(data):
@@ -56,7 +70,9 @@ def _sets(data: bytes, header: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _version(data: bytes) -> int:
-    return struct.unpack_from("!H", data)[0] if len(data) >= 20 else 0
+    """0 for what is too short to have a header."""
+    found = struct.unpack_from("!H", data)[0] if data is not None and len(data) >= 16 else 0
+    return 0 if found == 9 and len(data) < 20 else found
 
 
 def _source(data: bytes) -> int:
@@ -157,23 +173,29 @@ def packet(frame: bytes, kind: int = 1) -> dict:
     return row
 
 
+def _is_sflow(data: bytes) -> bool:
+    return len(data) >= 28 and data[:4] == b"\x00\x00\x00\x05" and (kind := struct.unpack_from("!I", data, 4)[0]) in (1, 2) and len(data) >= (28 if kind == 1 else 40)
+
+
 def sflow5(data: bytes) -> Iterator[dict]:
     """Flow samples (formats 1 and 3) with raw headers or IPv4 records; other samples and records are skipped."""
     word = lambda b, i: struct.unpack_from("!I", b, i)[0]
-    if len(data) < 28 or word(data, 0) != 5:
+    if not _is_sflow(data):
         return
     at = 8 + (4 if word(data, 4) == 1 else 16)
-    agent = word(data, 8) if word(data, 4) == 1 else None
+    agent = {"dev_ip": word(data, 8)} if word(data, 4) == 1 else {"dev_ip6": data[8:24]}
     n, at = word(data, at + 12), at + 16
     for _ in range(n):
         if at + 8 > len(data):
             return
         kind, size = word(data, at), word(data, at + 4)
+        if at + 8 + size > len(data):
+            return
         body, at = data[at + 8 : at + 8 + size], at + 8 + size
         if kind not in (1, 3) or len(body) < (32 if kind == 1 else 44):
             continue
         rate, records, p = word(body, 8 if kind == 1 else 12), word(body, 28 if kind == 1 else 40), 32 if kind == 1 else 44
-        row = {"in_pkts": 1, "sampling_rate": rate, "dev_ip": agent}
+        row = {"in_pkts": 1, "sampling_rate": rate} | agent
         for _ in range(records):
             if p + 8 > len(body):
                 break
@@ -252,44 +274,203 @@ def sni(data: bytes) -> str | None:
     return None
 
 
-def decode(datagrams: DataFrame) -> DataFrame:
-    """Flows of datagrams (recv_ts, src_ip, payload). Templates go to the tasks by exporter, not by datagram."""
-    version = F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("int")
-    dynamic = datagrams.where(version.isin(9, 10))
-    fixed = datagrams.where(~version.isin(9, 10))
+def _arrow(kind: T.DataType) -> pa.DataType:
+    return {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "timestamp": pa.timestamp("us", "UTC")}[kind.typeName()]
 
-    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for ts, data in zip(b["recv_ts"], b["payload"]):
-                found = netflow5(data) if data[:2] == b"\x00\x05" else sflow5(data)
-                rows += [r | {"recv_ts": ts} for r in found]
-            yield _frame(rows)
+
+ARROW = {f.name: _arrow(f.dataType) for f in FLOW_SCHEMA.fields}
+
+
+def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    """A batch of flows; fields without a column are null."""
+    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in ARROW.items()], list(ARROW))
+
+
+def _from_rows(rows: list[dict]) -> pa.RecordBatch:
+    have = set().union(*rows) if rows else set()
+    columns = {c: pa.array([r.get(c) for r in rows], ARROW[c]) for c in ARROW if c in have and c != "recv_ts"}
+    return _batch(columns | {"recv_ts": _times([r["recv_ts"] for r in rows], 1)}, len(rows))
+
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    """Big-endian numbers of the rows of bytes, as signed 64-bit ones."""
+    wide = np.zeros((len(data), 8), np.uint8)
+    wide[:, 8 - data.shape[1] :] = data
+    return wide.view(">i8").ravel().astype(np.int64)
+
+
+def _texts(data: np.ndarray) -> pa.Array:
+    return pa.array([bytes(r).rstrip(b"\0").decode("utf-8", "replace") for r in data], pa.string())
+
+
+def _fixed(data: np.ndarray, fields: list[tuple[int, int]]) -> dict[str, pa.Array]:
+    """Columns of records of one layout: rows of bytes, cut into fields (element, size); unknown ones and wrong sizes are left out."""
+    out, at = {}, 0
+    for element, size in fields:
+        field, own = BY_ELEMENT.get(element), data[:, at : at + size]
+        at += size
+        if field is None or not field.least <= size <= field.most:
+            continue
+        if field.kind == "INT" or field.kind == "ADDR" and field.most == 4:
+            out[field.name] = pa.array(_numbers(own))
+        elif field.kind == "ADDR":
+            ends = pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * size)
+            out[field.name] = pa.Array.from_buffers(pa.binary(), len(data), [None, ends, pa.py_buffer(np.ascontiguousarray(own))])
+        elif field.kind == "MAC":
+            out[field.name] = pa.array([":".join(f"{b:02x}" for b in r) for r in own.tolist()], pa.string())
+        else:
+            out[field.name] = _texts(own)
+    return out
+
+
+def _times(ts: list, counts: list[int] | int) -> pa.Array:
+    return pa.array(np.repeat(np.array(ts, "M8[us]"), counts), pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
+
+
+# The fields of a version 5 record as (element, size); 0 is padding.
+V5_LAYOUT = [(8, 4), (12, 4), (15, 4), (10, 2), (14, 2), (2, 4), (1, 4), (22, 4), (21, 4), (7, 2), (11, 2), (0, 1), (6, 1), (4, 1), (5, 1), (16, 2), (17, 2), (9, 1), (13, 1), (0, 2)]
+
+
+def _plain(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Flows of the version 5 and sFlow datagrams (recv_ts, payload) of a batch."""
+    ts = batch.column(0).cast(pa.timestamp("us")).to_numpy(zero_copy_only=False)
+    bodies, times, counts, rows = [], [], [], []
+    for t, data in zip(ts, batch.column(1).to_pylist()):
+        if data is None:
+            continue
+        if _is_v5(data):
+            bodies.append(data[24:])
+            times.append(t)
+            counts.append((len(data) - 24) // 48)
+        else:
+            rows += [r | {"recv_ts": t} for r in sflow5(data)]
+    if sum(counts):
+        columns = _fixed(np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 48), V5_LAYOUT)
+        yield _batch(columns | {"recv_ts": _times(times, counts)}, sum(counts))
+    if rows:
+        yield _from_rows(rows)
+
+
+def _template_of(book: dict, key: tuple, ts) -> tuple | None:
+    """The fields of a template as of ts, from (times seen, fields) sorted by time."""
+    found = book.get(key)
+    if not found:
+        return None
+    return found[1][max(0, bisect_right(found[0], ts) - 1)]
+
+
+def _by_books(batch: pa.RecordBatch, book_of) -> Iterator[pa.RecordBatch]:
+    """Flows of the v9 and IPFIX datagrams (recv_ts, src_ip, payload) of a batch; book_of: row to (book, prefix of its keys)."""
+    ts = batch.column(0).cast(pa.timestamp("us")).to_numpy(zero_copy_only=False)
+    layouts: dict[tuple, list] = {}
+    rows: list[dict] = []
+    for k, (t, data) in enumerate(zip(ts, batch.column(2).to_pylist())):
+        version = _version(data)
+        book, prefix = book_of(k)
+        for kind, body in _sets(data, 20 if version == 9 else 16):
+            fields = _template_of(book, (*prefix, _source(data), kind), t) if kind > 255 else None
+            if not fields:
+                continue
+            if version == 10 and any(size == 65535 for _, size in fields):
+                head = data[:20 if version == 9 else 16]
+                whole = head + struct.pack("!HH", kind, len(body) + 4) + body
+                rows += [r | {"recv_ts": t} for r in by_template(whole, {(_source(data), kind): fields})]
+            elif size := sum(s for _, s in fields):
+                bodies, times, counts = layouts.setdefault(fields, ([], [], []))
+                n = len(body) // size
+                bodies.append(body[: n * size])
+                times.append(t)
+                counts.append(n)
+    for fields, (bodies, times, counts) in layouts.items():
+        if sum(counts):
+            data = np.frombuffer(b"".join(bodies), np.uint8).reshape(sum(counts), -1)
+            yield _batch(_fixed(data, list(fields)) | {"recv_ts": _times(times, counts)}, sum(counts))
+    if rows:
+        yield _from_rows(rows)
+
+
+def _book(templates) -> dict:
+    """(key: (times, fields)) of (key, time, flat list of elements and sizes) sorted by time."""
+    out: dict = {}
+    for key, seen, flat in templates:
+        times, fields = out.setdefault(key, ([], []))
+        times.append(np.datetime64(seen.replace(tzinfo=None), "us") if not isinstance(seen, np.datetime64) else seen)
+        fields.append(tuple(zip(flat[::2], flat[1::2])))
+    return out
+
+
+def templates_of(datagrams: DataFrame) -> DataFrame:
+    """(src_ip, source, template, fields, seen): each template whenever it is new or differs from the one before."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(src, t[0], t[1], ts, [x for f in t[2] for x in f]) for ts, src, data in zip(b["recv_ts"], b["src_ip"], b["payload"]) for t in templates_in(data)]
-            yield pd.DataFrame(rows, columns=["src_ip", "source", "template", "seen", "fields"])
+            rows = {(src, *t[:2], tuple(x for f in t[2] for x in f), ts) for ts, src, data in zip(b["recv_ts"], b["src_ip"], b["payload"]) for t in templates_in(data)}
+            yield pd.DataFrame([(*r[:3], list(r[3]), r[4]) for r in rows], columns=["src_ip", "source", "template", "fields", "seen"])
 
-    learnt = dynamic.mapInPandas(learn, "src_ip string, source long, template int, seen timestamp, fields array<int>").groupBy("src_ip", "source", "template", "fields").agg(F.min("seen").alias("seen"))
-    books = learnt.groupBy("src_ip").agg(F.sort_array(F.collect_list(F.struct("seen", "source", "template", "fields"))).alias("book"))
+    learnt = datagrams.mapInPandas(learn, "src_ip string, source long, template int, fields array<int>, seen timestamp")
+    w = Window.partitionBy("src_ip", "source", "template").orderBy("seen", "fields")
+    was = learnt.withColumn("was", F.lag("fields").over(w))
+    return was.where("was IS NULL OR was <> fields").drop("was")
 
-    def by_book(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def decode(datagrams: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """Flows of datagrams (recv_ts, src_ip, payload).
+
+    templates, as templates_of() gives them, by default those of the datagrams themselves, are read once;
+    up to MOST_TEMPLATES of them go to every task, beyond that each exporter's go with its datagrams.
+    """
+    version = F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("int")
+    dynamic = datagrams.where(version.isin(9, 10)).select(F.col("recv_ts").cast("timestamp").alias("recv_ts"), "src_ip", "payload")
+    fixed = datagrams.where(~F.coalesce(version.isin(9, 10), F.lit(False))).select(F.col("recv_ts").cast("timestamp").alias("recv_ts"), "payload")
+    plain = fixed.mapInArrow(lambda batches: (x for b in batches for x in _plain(b)), FLOW_SCHEMA)
+    learnt = templates_of(dynamic) if templates is None else templates
+    found = learnt.select("src_ip", "source", "template", F.unix_micros("seen").alias("seen"), "fields").limit(MOST_TEMPLATES + 1).collect()
+    if len(found) <= MOST_TEMPLATES:
+        rows = [((r["src_ip"], r["source"], r["template"]), np.datetime64(r["seen"], "us"), list(r["fields"])) for r in found]
+        held = datagrams.sparkSession.sparkContext.broadcast(_book(sorted(rows, key=lambda r: (r[1], r[2]))))
+
+        def everywhere(batches):
+            for b in batches:
+                source = b.column(1).to_pylist()
+                yield from _by_books(b, lambda k: (held.value, (source[k],)))  # noqa: B023
+
+        return plain.unionByName(dynamic.mapInArrow(everywhere, FLOW_SCHEMA))
+    books = learnt.groupBy("src_ip").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("seen").alias("seen"), "source", "template", "fields"))).alias("book"))
+
+    def by_exporter(batches):
         for b in batches:
-            rows = []
-            for ts, data, book in zip(b["recv_ts"], b["payload"], b["book"]):
-                known: dict = {}
-                for t in book:
-                    key, fields = (t["source"], t["template"]), list(zip(t["fields"][::2], t["fields"][1::2]))
-                    if key not in known or t["seen"] <= ts:
-                        known[key] = fields
-                rows += [r | {"recv_ts": ts} for r in by_template(data, known)]
-            yield _frame(rows)
-
-    return fixed.mapInPandas(plain, FLOW_SCHEMA).unionByName(dynamic.join(books, "src_ip").mapInPandas(by_book, FLOW_SCHEMA))
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in NAMES})
-    frame["recv_ts"] = pd.to_datetime(frame["recv_ts"])
-    return frame
+            made: dict = {}
+
+            def of(k):
+                key = b.column(1)[k].as_py()  # noqa: B023
+                if key not in made:  # noqa: B023
+                    made[key] = _book(((t["source"], t["template"]), np.datetime64(t["seen"], "us"), t["fields"]) for t in b.column(3)[k].as_py())  # noqa: B023
+                return made[key], ()  # noqa: B023
+
+            yield from _by_books(b, of)
+
+    return plain.unionByName(dynamic.join(books, "src_ip").select("recv_ts", "src_ip", "payload", "book").mapInArrow(by_exporter, FLOW_SCHEMA))
+
+
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("ips", T.ArrayType(T.StringType()))]))
+def dns_answer(payload: pd.Series) -> pd.DataFrame:
+    """The name and addresses of a column of DNS payloads; null where there is no successful response."""
+    found = [dns(d) if d is not None else None for d in payload]
+    return pd.DataFrame({"name": [x[0] if x else None for x in found], "ips": [x[1] if x else None for x in found]}, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def server_name(payload: pd.Series) -> pd.Series:
+    """The server names of a column of TLS payloads; null where there is no ClientHello with one."""
+    return pd.Series([sni(d) if d is not None else None for d in payload], dtype=object)
+
+
+def rejected(datagrams: DataFrame) -> DataFrame:
+    """The datagrams that no decoder takes: of an unknown version, or too short or too long for it."""
+
+    @F.pandas_udf("boolean")
+    def taken(payload: pd.Series) -> pd.Series:
+        fits = lambda d: d is not None and (_is_v5(d) or _is_sflow(d) or _version(d) in (9, 10))
+        return payload.map(fits).astype(bool)
+
+    return datagrams.where(~taken("payload"))
