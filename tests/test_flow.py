@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from rillflow import dsl
-from rillflow.plans.queries import ORACLE_SQL, QUERIES
+from rillflow.plans.all_queries import ORACLE_SQL, QUERIES
 from rillflow.sources import wire
 
 SF = "/root/testdata/sf0.001"
