@@ -67,7 +67,10 @@ class Index:
 
 def queries_of(benchmark: DataFrame, width: int = WINDOW) -> Queries:
     split = benchmark.select(F.col("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    cut = split.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: F.slice("w", i + 1, width))).alias("terms")).distinct()
+    cut = split.select(
+        "item_id",
+        F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))), lambda i: F.slice("w", i + 1, width))).alias("terms")
+    ).distinct()
     cut = written(cut, "cut")
     windows = written(cut.select("terms").distinct().select(F.monotonically_increasing_id().alias("wid"), "terms"), "windows")
     items = written(join_known(cut, windows, ["terms"], MOST_TERMS).select("item_id", "wid"), "items")
@@ -134,7 +137,10 @@ def proximity(ix: Index, queries: Queries, slop: int) -> DataFrame:
     asked = near.join(size, "wid").join(ranked.select("wid", "term_id").distinct(), "wid")
     met = asked.join(ix.lists, ["rid", "term_id"]).where(F.abs(F.col("place") - F.col("anchor")) < F.col("span") + slop)
     first = met.groupBy("rid", "wid", "anchor", "span", "need").agg(F.collect_set(F.struct("place", "term_id")).alias("all"))
-    spans = F.exists("all", lambda a: F.size(F.array_distinct(F.transform(F.filter("all", lambda b: (b["place"] >= a["place"]) & (b["place"] < a["place"] + F.col("span") + slop)), lambda b: b["term_id"]))) == F.col("need"))
+    spans = F.exists(
+        "all",
+        lambda a: F.size(F.array_distinct(F.transform(F.filter("all", lambda b: (b["place"] >= a["place"]) & (b["place"] < a["place"] + F.col("span") + slop)), lambda b: b["term_id"]))) == F.col("need")
+    )
     return first.where(spans).select("rid", "wid").distinct()
 
 

@@ -146,7 +146,10 @@ def _nodes(equal: DataFrame, words: dict[tuple[int, int], int]) -> DataFrame:
                 q = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(at), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(ends, pa.array(filters)), q], ["label", "dim", "nid", "count", "v", "filters", "q"])
 
-    return written(equal.select("label", "dim", "nid", "count", "v").mapInArrow(task, f"label long, dim int, nid long, count long, v {kind}, filters array<long>, q binary"), "nodes")
+    return written(
+        equal.select("label", "dim", "nid", "count", "v").mapInArrow(task, f"label long, dim int, nid long, count long, v {kind}, filters array<long>, q binary"),
+        "nodes"
+    )
 
 
 GROUP = ["label", "dim", "filter", "one", "two"]

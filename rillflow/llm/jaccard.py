@@ -84,11 +84,23 @@ def _sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
         def flush():
             values, counts = np.unique(np.concatenate(kept), return_counts=True)
             values, counts = values[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int8)), _signed(values), pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(values), np.int32)), pa.array(np.zeros(len(values), np.int64))], kind)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.ones(len(values), np.int8)), _signed(values), pa.array(counts.astype(np.int64)),
+                    pa.array(np.zeros(len(values), np.int32)), pa.array(np.zeros(len(values), np.int64))
+                ],
+                kind
+            )
 
         for batch, first, last, h, bounds, fp in _batches(batches, k, seed):
             n = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(1).slice(first, last - first).cast(pa.int64()), _signed(fp), pa.array(n.astype(np.int32)), _signed(fingerprints(h, bounds, ~seed & 0xFFFFFFFF))], kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.zeros(len(n), np.int8)), batch.column(1).slice(first, last - first).cast(pa.int64()), _signed(fp),
+                    pa.array(n.astype(np.int32)), _signed(fingerprints(h, bounds, ~seed & 0xFFFFFFFF))
+                ],
+                kind
+            )
             new = np.zeros(len(n), bool)
             for i, f in enumerate(fp.tolist()):
                 if f not in seen:
@@ -217,7 +229,13 @@ def _nodes(docs: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
             data = (h[low] >> U(38)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
             sketch = pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data)])
             new = [f and f not in seen and not seen.add(f) for f in fp.tolist()]
-            out = pa.RecordBatch.from_arrays([_signed(fp), pa.array(np.diff(bounds).astype(np.int32)), sketch, batch.column(0).slice(first, last - first).cast(pa.string()), pa.array(np.full(len(fp), part, np.int32))], ["fp", "n", "sketch", "text", "part"])
+            out = pa.RecordBatch.from_arrays(
+                [
+                    _signed(fp), pa.array(np.diff(bounds).astype(np.int32)), sketch, batch.column(0).slice(first, last - first).cast(pa.string()),
+                    pa.array(np.full(len(fp), part, np.int32))
+                ],
+                ["fp", "n", "sketch", "text", "part"]
+            )
             yield out.filter(pa.array([bool(x) for x in new], pa.bool_()))
 
     found = docs.select("text").mapInArrow(task, "fp long, n int, sketch binary, text string, part int")
@@ -542,7 +560,10 @@ def _near(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
     alone = sets.where("m > 1").join(broadcast_if(linked.select("fp"), MOST_ROWS), "fp", "left_anti").select("fp", F.col("fp").alias("label"), F.col("doc_id").alias("component_id"))
     out = join_known(rows, written(linked.unionByName(alone), "labels"), ["fp"], MOST_ROWS, "left")
     component = F.when(F.col("label").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component, F.col("fp").alias("fingerprint"), F.when(F.col("n") > 0, F.coalesce("label", "fp")).alias("label")), seed
+    return out.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), component, F.col("fp").alias("fingerprint"),
+        F.when(F.col("n") > 0, F.coalesce("label", "fp")).alias("label")
+    ), seed
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -234,7 +234,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                     seen[b - a] += 1
                     a, b, piece = b, b + capacity, piece + 1
             columns = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_nth"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_nth"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return written(rows.mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _nth long"), "pieces")

@@ -124,7 +124,10 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
         return 0.0, np.zeros_like(g)
     i, j = np.unravel_index(gain.argmax(), gain.shape)
     values = np.empty_like(g)
-    for (p, q), rows, cols in zip(parts, (slice(0, i + 1), slice(0, i + 1), slice(i + 1, None), slice(i + 1, None)), (slice(0, j + 1), slice(j + 1, None), slice(0, j + 1), slice(j + 1, None))):
+    for (p, q), rows, cols in zip(
+        parts, (slice(0, i + 1), slice(0, i + 1), slice(i + 1, None), slice(i + 1, None)),
+        (slice(0, j + 1), slice(j + 1, None), slice(0, j + 1), slice(j + 1, None))
+    ):
         values[rows, cols] = _leaf(p[i, j], q[i, j])
     return float(gain[i, j]), values
 

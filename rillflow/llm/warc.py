@@ -39,7 +39,10 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
     """Writes pages (page_id, url, html) as WARC files into a new folder; returns the folder."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     page = F.col("page_id").cast("long")
-    rows = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).alias("n"), F.sha1(html.cast("binary")).alias("digest"))
+    rows = pages.select(
+        page.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).alias("n"),
+        F.sha1(html.cast("binary")).alias("digest")
+    )
     equal = rows.where(F.col("n") >= SHORTEST).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1 AND first IS NOT NULL").select(F.col("digest").alias("_d"), "first")
     rows = join_known(rows, written(equal.withColumnRenamed("_d", "digest"), "payloads"), ["digest"], MOST_GROUPS, "left")
     rows = rows.withColumn("first", F.when(F.col("n") >= SHORTEST, F.col("first")))
@@ -52,7 +55,10 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
     record = F.concat(
         F.lit("WARC/1.1\r\n"), F.when(again, line("WARC-Type", F.lit("revisit"))).otherwise(line("WARC-Type", F.lit("response"))), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), line("X-Payload-Length", F.col("n").cast("string")),
-        F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first"))))).otherwise(""),
+        F.when(
+            again,
+            F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("first"))))
+        ).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length("_block").cast("string")), F.lit(NEWLINE), F.col("_block"),
     )
     rows.withColumn("_block", block).select(record.alias("value")).write.option("lineSep", END).text(folder)
@@ -161,7 +167,10 @@ def read(spark: SparkSession, folder: str, block: int = BLOCK, payloads: bool =
                 if out:
                     columns = list(zip(*out))
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload", "intact"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(columns, kinds)],
+                        ["page_id", "type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload", "intact"]
+                    )
 
     doors = entries(written(candidates(files, block), "candidates")).select("path", "off", "size").repartition("path", "off")
     return doors.mapInArrow(task, "page_id long, type string, uri string, refers_to long, payload_bytes long, payload_digest string, payload binary, intact boolean")

@@ -14,8 +14,15 @@ from rillflow.llm import bytetext, dac, decontam, embed, jaccard, langid, packin
 from rillflow.llm.queries import QUERIES, URL_RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ["_text", "_host", "_declared", "_e", "_all", "_v", "_keep", "_found", "_quality_score", "_fingerprint", "_nth", "_label", "_d", "_h", "_f", "_row", "_part", "_random", "_rank", "_salt", "language", "confidence", "accepted", "fp", "label", "component", "rid", "place", "term", "wid", "features", "score", "y", "slot", "shard", "a.b", "row"]
-PROSE = ["the river runs along the old stone wall and the mill", "a quiet house stands near the green hill by the road", "every morning the baker opens the shop and sweeps the floor"]
+CLASHES = [
+    "_text", "_host", "_declared", "_e", "_all", "_v", "_keep", "_found", "_quality_score", "_fingerprint", "_nth", "_label", "_d", "_h", "_f",
+    "_row", "_part", "_random", "_rank", "_salt", "language", "confidence", "accepted", "fp", "label", "component", "rid", "place", "term", "wid",
+    "features", "score", "y", "slot", "shard", "a.b", "row"
+]
+PROSE = [
+    "the river runs along the old stone wall and the mill", "a quiet house stands near the green hill by the road",
+    "every morning the baker opens the shop and sweeps the floor"
+]
 
 
 def clashing(df):
@@ -330,7 +337,10 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     texts[7] = texts[3] + " tail"
     texts[8] = texts[3]
     texts[11] = f"{texts[11]} {passage} end"
-    rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)] + [(70, "$$$ ### | | | 123", "en", "s1", 3), (None, texts[20], "en", "s0", 1), (None, " ".join(rng.choice(vocabulary, 50)), "en", "s0", 1), (5, texts[5], "en", "s2", 1), (71, None, "en", "s1", 0), (72, "", None, None, 0)]
+    rows = [(i, t, "en", f"s{i % 4}", len(t)) for i, t in enumerate(texts)] + [
+        (70, "$$$ ### | | | 123", "en", "s1", 3), (None, texts[20], "en", "s0", 1), (None, " ".join(rng.choice(vocabulary, 50)), "en", "s0", 1),
+        (5, texts[5], "en", "s2", 1), (71, None, "en", "s1", 0), (72, "", None, None, 0)
+    ]
     clashing(spark.createDataFrame(rows, DOCS)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(70, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -13,7 +13,10 @@ from rillflow.llm.queries import URL_RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
-TEXTS = [(1, "a b c d e f g"), (2, "A B c d e f G"), (3, None), (4, ""), (5, "only three words"), (6, "Only THREE  words\n"), (7, LONG), (7, LONG), (8, LONG + " tail"), (None, "x y z"), (9, "x y z")]
+TEXTS = [
+    (1, "a b c d e f g"), (2, "A B c d e f G"), (3, None), (4, ""), (5, "only three words"), (6, "Only THREE  words\n"), (7, LONG), (7, LONG),
+    (8, LONG + " tail"), (None, "x y z"), (9, "x y z")
+]
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +73,10 @@ def test_jaccard_least_sets(spark):
 
 def test_keep_first_repeated_ids(spark):
     """Rows of equal or null doc_id are told apart by component, not by doc_id."""
-    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k  L"), (None, ""), (None, None), (1, "m n o p q r"), (1, "s t u v w x"), (1, "s t u v w x"), (None, "s t u v w x"), (2, "m n o p q r"), (2, "only two"), (3, "")]
+    rows = [
+        (None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k  L"), (None, ""), (None, None), (1, "m n o p q r"), (1, "s t u v w x"),
+        (1, "s t u v w x"), (None, "s t u v w x"), (2, "m n o p q r"), (2, "only two"), (3, "")
+    ]
     kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(None, "a b c d e f"), (None, "g h i j k l"), (None, ""), (None, None), (1, "m n o p q r"), (1, "s t u v w x"), (2, "only two"), (3, "")]
     assert sorted(str((r.doc_id, " ".join(r.text.lower().split()) if r.text else r.text)) for r in kept) == sorted(map(str, want))
@@ -143,7 +149,10 @@ def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((40, 16))
     rows = [(i, (base[i % 40] + rng.standard_normal(16) * 0.08).tolist(), i % 2) for i in range(200)]
-    rows += [(200, base[0].tolist(), 0), (201, base[0].tolist(), 0), (201, base[0].tolist(), 0), (202, None, 0), (203, [0.0] * 16, 0), (204, [float("nan")] + [1.0] * 15, 0), (205, base[0].tolist(), None), (206, [None] + [1.0] * 15, 1), (207, [1.0, 2.0], 1)]
+    rows += [
+        (200, base[0].tolist(), 0), (201, base[0].tolist(), 0), (201, base[0].tolist(), 0), (202, None, 0), (203, [0.0] * 16, 0),
+        (204, [float("nan")] + [1.0] * 15, 0), (205, base[0].tolist(), None), (206, [None] + [1.0] * 15, 1), (207, [1.0, 2.0], 1)
+    ]
     got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("nid", F.lit(1))).collect()
     good = [(i, np.float32(v).astype(float) if v and None not in v else None, lab) for i, v, lab in rows]
     links = []
@@ -160,7 +169,11 @@ def test_embeddings(spark):
 
 
 def test_url_filter(spark):
-    cases = {"http://A.Example.NET/en/x?q": ("allow", "example.net/en/"), "https://example.net/enx": ("block", "net/"), "http://notexample.com/de/": ("allow", None), "x://www.example.com/de/#": ("block", "example.com/de/"), "nothing": ("allow", None), "http://org/fr/": ("allow", "org/fr/"), "http://org": ("allow", None), "": ("allow", None)}
+    cases = {
+        "http://A.Example.NET/en/x?q": ("allow", "example.net/en/"), "https://example.net/enx": ("block", "net/"),
+        "http://notexample.com/de/": ("allow", None), "x://www.example.com/de/#": ("block", "example.com/de/"), "nothing": ("allow", None),
+        "http://org/fr/": ("allow", "org/fr/"), "http://org": ("allow", None), "": ("allow", None)
+    }
     got = urlfilter.judge(spark.createDataFrame([(u, "h") for u in [*cases, None]], "url string, host string"), URL_RULES).collect()
     assert {r.url: (r.verdict, r.rule) for r in got if r.url is not None} == cases
     assert [(r.host, r.path) for r in got if r.url is None] == [("", "")]
@@ -168,7 +181,10 @@ def test_url_filter(spark):
 
 def test_warc(spark):
     big = "é<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "x" * 3000
-    rows = [(1, "http://a/", big), (2, "http://b c/\r\n", big), (3, None, None), (4, "http://d/", "short"), (5, "http://e/", "short"), (6, "http://f/", big), (6, "http://f/", big), (None, "u", big)]
+    rows = [
+        (1, "http://a/", big), (2, "http://b c/\r\n", big), (3, None, None), (4, "http://d/", "short"), (5, "http://e/", "short"),
+        (6, "http://f/", big), (6, "http://f/", big), (None, "u", big)
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     folder = warc.write(pages, warc.fresh_path(spark, "test"))
     for block in (97, 1000, 1 << 20):
