@@ -105,10 +105,16 @@ def monitoring_object(conf: dict, name: str, path: str | None = None) -> Monitor
     folder = os.path.dirname(path) if path else None
     windows = [Window(w["name"], list(w["fields"]), int(w.get("time", 30)), int(w.get("limit", 0)), bool(w.get("extended", False)), bool(w.get("create-index", True))) for w in conf.get("fwm", [])]
     averages = [
-        Average(a["name"], list(a["fields"]), int(a.get("time", 5)), int(a.get("dump", 0)), int(a.get("mem-m", 256)), _limits(a.get("overlimit", []), folder), _limits(a.get("underlimit", []), folder))
+        Average(
+            a["name"], list(a["fields"]), int(a.get("time", 5)), int(a.get("dump", 0)), int(a.get("mem-m", 256)),
+            _limits(a.get("overlimit", []), folder), _limits(a.get("underlimit", []), folder)
+        )
         for a in conf.get("mavg", [])
     ]
-    classifiers = [Classifier(int(c.get("id", k)), list(c["fields"]), c["val"], int(c.get("top-percents", 0)), int(c.get("time", 30))) for k, c in enumerate(conf.get("classification", []))]
+    classifiers = [
+        Classifier(int(c.get("id", k)), list(c["fields"]), c["val"], int(c.get("top-percents", 0)), int(c.get("time", 30))) for k,
+        c in enumerate(conf.get("classification", []))
+    ]
     out = MonitoringObject(name, conf.get("filter", ""), windows, averages, classifiers, conf.get("debug", {}).get("dump-flows", "none"), path=path)
     dsl.parse(out.filter)
     for fields in [w.fields for w in windows] + [a.fields for a in averages] + [c.fields for c in classifiers]:

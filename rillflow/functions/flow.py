@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Services known by name.
-PORTS = {20: "ftp-data", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 53: "domain", 80: "http", 110: "pop3", 123: "ntp", 143: "imap", 161: "snmp", 179: "bgp", 389: "ldap", 443: "https", 445: "microsoft-ds", 993: "imaps", 1900: "ssdp", 3306: "mysql", 3389: "ms-wbt-server", 5060: "sip", 11211: "memcache"}
+PORTS = {
+    20: "ftp-data", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 53: "domain", 80: "http", 110: "pop3", 123: "ntp", 143: "imap", 161: "snmp",
+    179: "bgp", 389: "ldap", 443: "https", 445: "microsoft-ds", 993: "imaps", 1900: "ssdp", 3306: "mysql", 3389: "ms-wbt-server", 5060: "sip",
+    11211: "memcache"
+}
 # TCP flags in the order of their labels.
 TCP_FLAGS = (("CWR", 128), ("ECE", 64), ("URG", 32), ("ACK", 16), ("PSH", 8), ("RST", 4), ("SYN", 2), ("FIN", 1))
 PROTOCOLS = {1: "icmp", 6: "tcp", 17: "udp", 47: "gre", 50: "esp", 58: "ipv6-icmp", 89: "ospf", 132: "sctp"}

@@ -22,14 +22,20 @@ def train(flows: DataFrame, period: Column, keys: dict[str, Column], value: Colu
     bands = sums.groupBy("period", "band").agg(F.sum("s").alias("bs"), F.count(F.lit(1)).alias("bn"))
     above = Window.partitionBy("period").orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("period")
-    bands = bands.select("period", "band", F.sum("bs").over(whole).alias("total"), F.coalesce(F.sum("bs").over(above), F.lit(0)).alias("sums"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("ranks"))
+    bands = bands.select(
+        "period", "band", F.sum("bs").over(whole).alias("total"), F.coalesce(F.sum("bs").over(above), F.lit(0)).alias("sums"),
+        F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("ranks")
+    )
     reached = bands.where((F.col("total") > 0) & (F.floor(F.col("sums") * 100 / F.col("total")) < percent))
     rows = sums.join(F.broadcast(reached), ["period", "band"])  # at most BANDS + 1 rows a period
     order = Window.partitionBy("period", "band").orderBy(F.col("s").desc(), *names)
     before = F.col("sums") + F.coalesce(F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = rows.withColumn("before", before).withColumn("rank", (F.col("ranks") + F.row_number().over(order)).cast("int"))
     kept = ranked.where(F.floor(F.col("before") * 100 / F.col("total")) < percent)
-    return kept.select("period", *names, F.concat_ws("-", *[F.col(n).cast("string") for n in names]).alias("class_id"), "s", (F.col("s") * 100.0 / F.col("total")).alias("share"), "rank")
+    return kept.select(
+        "period", *names, F.concat_ws("-", *[F.col(n).cast("string") for n in names]).alias("class_id"), "s",
+        (F.col("s") * 100.0 / F.col("total")).alias("share"), "rank"
+    )
 
 
 def grown(dictionary: DataFrame | None, classes: DataFrame) -> DataFrame:
@@ -40,7 +46,10 @@ def grown(dictionary: DataFrame | None, classes: DataFrame) -> DataFrame:
     period, keys, class_id, name, s and share.
     """
     keys = [c for c in classes.columns if c not in ("period", "class_id", "name", "s", "share", "rank")]
-    stats = F.concat(F.col("s").cast("string"), F.lit(" of "), F.round(F.col("s") * 100.0 / F.col("share")).cast("long").cast("string"), F.lit(", "), F.round("share", 2).cast("string"), F.lit("%"))
+    stats = F.concat(
+        F.col("s").cast("string"), F.lit(" of "), F.round(F.col("s") * 100.0 / F.col("share")).cast("long").cast("string"), F.lit(", "),
+        F.round("share", 2).cast("string"), F.lit("%")
+    )
     new = classes.select(*keys, "class_id", "name", F.col("period").alias("since"), stats.alias("stats"), F.col("period").alias("at"), F.lit(1).alias("given"))
     old = new.limit(0) if dictionary is None else dictionary.select(*keys, "class_id", "name", "since", "stats", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("given"))
     first = F.struct("given", "since")

@@ -88,7 +88,10 @@ for _name, _text, _sql in (
     CASE tcp_flags WHEN 2 THEN 'SYN' WHEN 24 THEN 'ACK+PSH' ELSE 'ACK' END AS flag_label, {_PROTO_NAME.format("protocol")} AS proto_label, count(*) AS n FROM flows GROUP BY ALL""")
 def _labels(spark, sf_dir):
     df = flows(spark, sf_dir)
-    return df.groupBy(F.col("l4_dst_port").alias("port"), "protocol", "tcp_flags", fn.portstr(F.col("l4_dst_port")).alias("port_label"), fn.tfstr(F.col("tcp_flags")).alias("flag_label"), fn.protocol_name(F.col("protocol")).alias("proto_label")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(
+        F.col("l4_dst_port").alias("port"), "protocol", "tcp_flags", fn.portstr(F.col("l4_dst_port")).alias("port_label"),
+        fn.tfstr(F.col("tcp_flags")).alias("flag_label"), fn.protocol_name(F.col("protocol")).alias("proto_label")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("fn_div", """SELECT in_bytes // greatest(in_pkts, 1) AS q, in_bytes // greatest(in_pkts, 1) // 500 * 500 AS q_r,
@@ -98,7 +101,10 @@ def _divs(spark, sf_dir):
     return flows(spark, sf_dir).groupBy(fn.div(a, b).alias("q"), fn.div_r(a, b, 500).alias("q_r"), fn.div_l(a, b, 10).alias("q_l")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("fn_ipv4", "SELECT ip4_src_addr, (ip4_src_addr >> 24) || '.' || ((ip4_src_addr >> 16) & 255) || '.' || ((ip4_src_addr >> 8) & 255) || '.' || (ip4_src_addr & 255) AS text, count(*) AS n FROM flows GROUP BY ALL")
+@_query(
+    "fn_ipv4",
+    "SELECT ip4_src_addr, (ip4_src_addr >> 24) || '.' || ((ip4_src_addr >> 16) & 255) || '.' || ((ip4_src_addr >> 8) & 255) || '.' || (ip4_src_addr & 255) AS text, count(*) AS n FROM flows GROUP BY ALL"
+)
 def _ipv4(spark, sf_dir):
     return flows(spark, sf_dir).groupBy("ip4_src_addr", fn.ipv4_str(F.col("ip4_src_addr")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -120,13 +126,19 @@ def _geo(spark, sf_dir):
     return lookup.longest(flows(spark, sf_dir), "ip4_src_addr", lookup.prefixes(spark, _NETS, ["country"]), {"country": "?"}).groupBy("country").agg(F.sum("in_bytes").alias("octets"))
 
 
-@_query("asn_lpm", f"SELECT CASE {_LPM} WHEN 'C' THEN '65003' WHEN 'B' THEN '65002' WHEN 'A' THEN '65001' ELSE '0' END AS asn, CASE {_LPM} WHEN 'C' THEN 'as C' WHEN 'B' THEN 'as B' WHEN 'A' THEN 'as A' ELSE '?' END AS asd, count(*) AS n FROM flows GROUP BY ALL")
+@_query(
+    "asn_lpm",
+    f"SELECT CASE {_LPM} WHEN 'C' THEN '65003' WHEN 'B' THEN '65002' WHEN 'A' THEN '65001' ELSE '0' END AS asn, CASE {_LPM} WHEN 'C' THEN 'as C' WHEN 'B' THEN 'as B' WHEN 'A' THEN 'as A' ELSE '?' END AS asd, count(*) AS n FROM flows GROUP BY ALL"
+)
 def _asn(spark, sf_dir):
     table = lookup.prefixes(spark, [(p, f"6500{1 + 'ABC'.index(x)}", f"as {x}") for p, x in _NETS], ["asn", "asd"])
     return lookup.longest(flows(spark, sf_dir), "ip4_src_addr", table, {"asn": "0", "asd": "?"}).groupBy("asn", "asd").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("geo_range_join", "SELECT CASE WHEN ip4_src_addr BETWEEN 167772160 AND 167772200 THEN 'x' WHEN ip4_src_addr BETWEEN 167772201 AND 167772230 THEN 'y' ELSE '?' END AS city, count(*) AS n FROM flows GROUP BY ALL")
+@_query(
+    "geo_range_join",
+    "SELECT CASE WHEN ip4_src_addr BETWEEN 167772160 AND 167772200 THEN 'x' WHEN ip4_src_addr BETWEEN 167772201 AND 167772230 THEN 'y' ELSE '?' END AS city, count(*) AS n FROM flows GROUP BY ALL"
+)
 def _ranges(spark, sf_dir):
     table = spark.createDataFrame([(167772160, 167772200, "x"), (167772201, 167772230, "y")], "start long, end long, city string")
     return lookup.ranges(flows(spark, sf_dir), "ip4_src_addr", table, {"city": "?"}).groupBy("city").agg(F.count(F.lit(1)).alias("n"))
@@ -179,12 +191,24 @@ def _window_query(name: str, text: str, fields: list[str], seconds: int, sql: st
 
 
 _T = _END.format(DAY7)
-_window_query("win_total", "", ["octets", "packets"], DAY7, f"SELECT {_T} AS time, CAST(sum(in_bytes) AS BIGINT) AS octets, CAST(sum(in_pkts) AS BIGINT) AS packets FROM flows GROUP BY 1")
+_window_query(
+    "win_total", "", ["octets", "packets"], DAY7,
+    f"SELECT {_T} AS time, CAST(sum(in_bytes) AS BIGINT) AS octets, CAST(sum(in_pkts) AS BIGINT) AS packets FROM flows GROUP BY 1"
+)
 _window_query("win_proto", "", ["proto", "octets desc"], DAY7, f"SELECT {_T} AS time, protocol AS proto, CAST(sum(in_bytes) AS BIGINT) AS octets FROM flows GROUP BY 1, 2")
-_window_query("win_multi_agg", "proto 6 or 17", ["src as", "octets", "packets", "bits"], DAY7, f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes) AS BIGINT) AS octets, CAST(sum(in_pkts) AS BIGINT) AS packets, CAST(sum(in_bytes * 8) AS BIGINT) AS bits FROM flows WHERE protocol IN (6, 17) GROUP BY 1, 2")
-_window_query("win_bits_scale", "dst port 443", ["bits desc", "src ifidx"], DAY7, f"SELECT {_T} AS time, CAST(sum(in_bytes * 8) AS BIGINT) AS bits, input_snmp AS src_ifidx FROM flows WHERE l4_dst_port = 443 GROUP BY 1, 3")
+_window_query(
+    "win_multi_agg", "proto 6 or 17", ["src as", "octets", "packets", "bits"], DAY7,
+    f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes) AS BIGINT) AS octets, CAST(sum(in_pkts) AS BIGINT) AS packets, CAST(sum(in_bytes * 8) AS BIGINT) AS bits FROM flows WHERE protocol IN (6, 17) GROUP BY 1, 2"
+)
+_window_query(
+    "win_bits_scale", "dst port 443", ["bits desc", "src ifidx"], DAY7,
+    f"SELECT {_T} AS time, CAST(sum(in_bytes * 8) AS BIGINT) AS bits, input_snmp AS src_ifidx FROM flows WHERE l4_dst_port = 443 GROUP BY 1, 3"
+)
 _window_query("win_distinct_keys", "", ["src as", "proto"], DAY7, f"SELECT DISTINCT {_T} AS time, src_as, protocol AS proto FROM flows")
-_window_query("win_sampling", "", ["src as", "octets"], DAY7, f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes * {_RATE}) AS BIGINT) AS octets FROM flows GROUP BY 1, 2", rate="sampling_rate")
+_window_query(
+    "win_sampling", "", ["src as", "octets"], DAY7,
+    f"SELECT {_T} AS time, src_as, CAST(sum(in_bytes * {_RATE}) AS BIGINT) AS octets FROM flows GROUP BY 1, 2", rate="sampling_rate"
+)
 _window_query("win_portpair", "", ["ppstr(src port, dst port)", "octets"], 30 * 86400, f"""SELECT {_END.format(30 * 86400)} AS time, CASE
     WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '(' || l4_src_port || ') -> ' || b || '(' || l4_dst_port || ')'
     WHEN l4_src_port = l4_dst_port THEN l4_src_port || ' -> ' || l4_dst_port
@@ -205,9 +229,28 @@ def _others_sql(where: str, group: str, seconds: int, keys: str, order: str, lim
         SELECT time, {", ".join(k)}, {", ".join(f"CAST(sum({s}) AS BIGINT) AS {s}" for s in sums)} FROM m GROUP BY time, slot, {", ".join(k)}"""
 
 
-_window_query("win_topn_others", "dst net 192.168.0.0/16", ["packets desc", "octets desc", "src host"], DAY7, _others_sql("ip4_dst_addr BETWEEN 3232235520 AND 3232301055", "1, 4", DAY7, "CAST(sum(in_pkts) AS BIGINT) AS packets, CAST(sum(in_bytes) AS BIGINT) AS octets, ip4_src_addr AS src_host", "packets DESC, octets DESC, src_host", 20, ["packets", "octets", "src_host"], ["packets", "octets"]), 20)
-_window_query("win_topn_exact_n", "", ["octets desc", "proto"], DAY7, _others_sql("true", "1, 3", DAY7, "CAST(sum(in_bytes) AS BIGINT) AS octets, protocol AS proto", "octets DESC, proto", 3, ["octets", "proto"], ["octets"]), 3)
-_window_query("win_multi_sort", "", ["src as desc", "proto", "packets"], 30 * 86400, _others_sql("true", "1, 2, 3", 30 * 86400, "src_as, protocol AS proto, CAST(sum(in_pkts) AS BIGINT) AS packets", "src_as DESC, proto, packets", 10, ["src_as", "proto", "packets"], ["packets"]), 10)
+_window_query(
+    "win_topn_others", "dst net 192.168.0.0/16", ["packets desc", "octets desc", "src host"], DAY7,
+    _others_sql(
+        "ip4_dst_addr BETWEEN 3232235520 AND 3232301055", "1, 4", DAY7,
+        "CAST(sum(in_pkts) AS BIGINT) AS packets, CAST(sum(in_bytes) AS BIGINT) AS octets, ip4_src_addr AS src_host",
+        "packets DESC, octets DESC, src_host", 20, ["packets", "octets", "src_host"], ["packets", "octets"]
+    ),
+    20
+)
+_window_query(
+    "win_topn_exact_n", "", ["octets desc", "proto"], DAY7,
+    _others_sql("true", "1, 3", DAY7, "CAST(sum(in_bytes) AS BIGINT) AS octets, protocol AS proto", "octets DESC, proto", 3, ["octets", "proto"], ["octets"]),
+    3
+)
+_window_query(
+    "win_multi_sort", "", ["src as desc", "proto", "packets"], 30 * 86400,
+    _others_sql(
+        "true", "1, 2, 3", 30 * 86400, "src_as, protocol AS proto, CAST(sum(in_pkts) AS BIGINT) AS packets", "src_as DESC, proto, packets", 10,
+        ["src_as", "proto", "packets"], ["packets"]
+    ),
+    10
+)
 
 
 @_query("mfreq_port", f"""+ ports AS (SELECT l4_src_port AS p FROM flows UNION ALL SELECT l4_dst_port FROM flows), f AS (SELECT p, count(*) AS c FROM ports GROUP BY p)
@@ -252,7 +295,11 @@ def _mavg_over(spark, sf_dir):
     return mavg.over(_limited(spark, _mavg(spark, sf_dir)), SPAN).select("src", "event_id", "limit")
 
 
-@_query("mavg_underlimit", f"{_SERIES}, e AS (SELECT src, arg_max(us, rn) AS us, arg_max(n, rn) AS n FROM s GROUP BY src), now AS (SELECT max(us) AS now_us FROM s) SELECT src, round(CASE WHEN now_us - us < {SPAN}000000 THEN n * (1 - (now_us - us) / {SPAN}000000.0) ELSE 0 END / {SPAN}, 4) AS per_second FROM e, now WHERE CASE WHEN now_us - us < {SPAN}000000 THEN n * (1 - (now_us - us) / {SPAN}000000.0) ELSE 0 END / {SPAN} < {_LIMIT}", _RVIEWS)
+@_query(
+    "mavg_underlimit",
+    f"{_SERIES}, e AS (SELECT src, arg_max(us, rn) AS us, arg_max(n, rn) AS n FROM s GROUP BY src), now AS (SELECT max(us) AS now_us FROM s) SELECT src, round(CASE WHEN now_us - us < {SPAN}000000 THEN n * (1 - (now_us - us) / {SPAN}000000.0) ELSE 0 END / {SPAN}, 4) AS per_second FROM e, now WHERE CASE WHEN now_us - us < {SPAN}000000 THEN n * (1 - (now_us - us) / {SPAN}000000.0) ELSE 0 END / {SPAN} < {_LIMIT}",
+    _RVIEWS
+)
 def _mavg_under(spark, sf_dir):
     values = _mavg(spark, sf_dir)
     now = eflows(spark, sf_dir).agg(F.max(F.unix_micros("ts"))).first()[0]
@@ -273,7 +320,11 @@ def _alert_intervals(spark, sf_dir):
     return _alerts(spark, sf_dir).select("src", "start_us", F.floor(F.col("end_us") / 1_000_000).alias("end_s"), "breaches")
 
 
-@_query("alert_ext_window", f"{_ALERTS} SELECT protocol, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS octets FROM eflows e WHERE EXISTS (SELECT 1 FROM alerts x WHERE e.us >= x.start_us AND e.us < x.end_us // 1000000 * 1000000) GROUP BY ALL", _RVIEWS)
+@_query(
+    "alert_ext_window",
+    f"{_ALERTS} SELECT protocol, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS octets FROM eflows e WHERE EXISTS (SELECT 1 FROM alerts x WHERE e.us >= x.start_us AND e.us < x.end_us // 1000000 * 1000000) GROUP BY ALL",
+    _RVIEWS
+)
 def _alert_ext(spark, sf_dir):
     spans = _alerts(spark, sf_dir).select(F.timestamp_micros("start_us").alias("start"), F.timestamp_seconds(F.floor(F.col("end_us") / 1_000_000)).alias("end"))
     return windows.gated(eflows(spark, sf_dir), spans).groupBy("protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("octets"))
@@ -310,12 +361,18 @@ def _clsf_share(spark, sf_dir):
     return _classes(spark, sf_dir).select("period", "class_id", F.round("share", 4).alias("share"))
 
 
-@_query("clsf_apply", f"{_CLASSES} SELECT coalesce(k.class_id, '') AS class_id, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS octets FROM flows LEFT JOIN k ON k.period + {PERIOD} = sec - sec % {PERIOD} AND k.port = l4_dst_port AND k.protocol = flows.protocol GROUP BY 1")
+@_query(
+    "clsf_apply",
+    f"{_CLASSES} SELECT coalesce(k.class_id, '') AS class_id, count(*) AS n, CAST(sum(in_bytes) AS BIGINT) AS octets FROM flows LEFT JOIN k ON k.period + {PERIOD} = sec - sec % {PERIOD} AND k.port = l4_dst_port AND k.protocol = flows.protocol GROUP BY 1"
+)
 def _clsf_apply(spark, sf_dir):
     return classify.apply(flows(spark, sf_dir), _period(), PERIOD, _class_keys(), _classes(spark, sf_dir)).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("octets"))
 
 
-@_query("clsf_names", f"{_CLASSES} SELECT DISTINCT class_id, coalesce({_PORT_NAME.format('port')}, CAST(port AS VARCHAR)) || ',' || {_PROTO_NAME.format('protocol')} AS name FROM k")
+@_query(
+    "clsf_names",
+    f"{_CLASSES} SELECT DISTINCT class_id, coalesce({_PORT_NAME.format('port')}, CAST(port AS VARCHAR)) || ',' || {_PROTO_NAME.format('protocol')} AS name FROM k"
+)
 def _clsf_names(spark, sf_dir):
     port = F.coalesce(fn._named(F.col("port")), F.col("port").cast("string"))
     return _classes(spark, sf_dir).select("class_id", F.concat_ws(",", port, fn.protocol_name(F.col("protocol"))).alias("name")).distinct()
@@ -351,7 +408,10 @@ def _r2(t):
     return t.groupBy("dst").agg(_sum("octets")).orderBy(F.col("octets").desc(), "dst")
 
 
-@_report("rpt_prev_month", f" SELECT dst, CAST(sum(octets) AS BIGINT) AS octets FROM t WHERE to_timestamp(time) >= date_trunc('month', to_timestamp({AS_OF})) - INTERVAL 1 MONTH AND to_timestamp(time) < date_trunc('month', to_timestamp({AS_OF})) GROUP BY 1")
+@_report(
+    "rpt_prev_month",
+    f" SELECT dst, CAST(sum(octets) AS BIGINT) AS octets FROM t WHERE to_timestamp(time) >= date_trunc('month', to_timestamp({AS_OF})) - INTERVAL 1 MONTH AND to_timestamp(time) < date_trunc('month', to_timestamp({AS_OF})) GROUP BY 1"
+)
 def _r3(t):
     at = F.timestamp_seconds("time")
     month = F.date_trunc("month", F.timestamp_seconds(F.lit(AS_OF)))
@@ -363,7 +423,10 @@ def _r4(t):
     return t.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("targets"))
 
 
-@_report("rpt_pivot", " SELECT time, CAST(coalesce(sum(octets) FILTER (proto = 1), 0) AS BIGINT) AS icmp, CAST(coalesce(sum(octets) FILTER (proto = 6), 0) AS BIGINT) AS tcp, CAST(coalesce(sum(octets) FILTER (proto = 17), 0) AS BIGINT) AS udp FROM t GROUP BY 1")
+@_report(
+    "rpt_pivot",
+    " SELECT time, CAST(coalesce(sum(octets) FILTER (proto = 1), 0) AS BIGINT) AS icmp, CAST(coalesce(sum(octets) FILTER (proto = 6), 0) AS BIGINT) AS tcp, CAST(coalesce(sum(octets) FILTER (proto = 17), 0) AS BIGINT) AS udp FROM t GROUP BY 1"
+)
 def _r5(t):
     return reports.crosstab(t.withColumn("name", fn.protocol_name(F.col("proto"))), "time", "name", ["icmp", "tcp", "udp"], "octets")
 
@@ -456,7 +519,10 @@ def _rate(spark, sf_dir):
     return t.select("time", F.expr("octets div 60 * 8").alias("bps"), F.expr("packets div 60").alias("pps"))
 
 
-@_query("rpt_dns_unnest", "SELECT DISTINCT 'host' || l4_dst_port AS name, ip FROM (SELECT l4_dst_port, unnest(string_split('10.0.0.' || (l4_dst_port % 7) || ',10.0.1.' || (l4_dst_port % 5), ',')) AS ip FROM flows)")
+@_query(
+    "rpt_dns_unnest",
+    "SELECT DISTINCT 'host' || l4_dst_port AS name, ip FROM (SELECT l4_dst_port, unnest(string_split('10.0.0.' || (l4_dst_port % 7) || ',10.0.1.' || (l4_dst_port % 5), ',')) AS ip FROM flows)"
+)
 def _dns(spark, sf_dir):
     port = F.col("l4_dst_port")
     ips = F.concat(F.lit("{10.0.0."), (port % 7).cast("string"), F.lit(",10.0.1."), (port % 5).cast("string"), F.lit("}"))
@@ -471,6 +537,9 @@ def _dec_nf5(spark, sf_dir):
 
     word = lambda c, digits: F.lpad(F.hex(c), digits, "0")
     header = F.lit("00050001" + "00" * 20)
-    record = F.concat(header, word(F.col("ip4_src_addr"), 8), F.lit("00" * 12), word(F.col("in_pkts"), 8), word(F.col("in_bytes"), 8), F.lit("00" * 14), word(F.col("protocol"), 2), F.lit("00" * 9))
+    record = F.concat(
+        header, word(F.col("ip4_src_addr"), 8), F.lit("00" * 12), word(F.col("in_pkts"), 8), word(F.col("in_bytes"), 8), F.lit("00" * 14),
+        word(F.col("protocol"), 2), F.lit("00" * 9)
+    )
     sent = eflows(spark, sf_dir).select(F.col("ts").alias("recv_ts"), F.lit("10.9.9.9").alias("src_ip"), F.unhex(record).alias("payload"))
     return wire.decode(sent).groupBy("ip4_src_addr", "protocol").agg(F.count(F.lit(1)).alias("n"), F.sum("in_bytes").alias("octets"), F.sum("in_pkts").alias("packets"))

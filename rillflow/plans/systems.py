@@ -75,7 +75,10 @@ def _frame(proto: Column, src: Column, l4: Column) -> Column:
     return F.concat(ethernet, ip, l4)
 
 
-@_query("dec_sflow", "SELECT ip4_src_addr, CASE WHEN protocol = 6 THEN 6 ELSE 17 END AS protocol, 443 AS port, 5 AS vlan, count(*) AS n, CAST(sum(in_bytes * (1 + event_id % 4)) AS BIGINT) AS octets FROM eflows GROUP BY 1, 2")
+@_query(
+    "dec_sflow",
+    "SELECT ip4_src_addr, CASE WHEN protocol = 6 THEN 6 ELSE 17 END AS protocol, 443 AS port, 5 AS vlan, count(*) AS n, CAST(sum(in_bytes * (1 + event_id % 4)) AS BIGINT) AS octets FROM eflows GROUP BY 1, 2"
+)
 def _dec_sflow(spark, sf_dir):
     df = eflows(spark, sf_dir)
     proto = F.when(F.col("protocol") == 6, 6).otherwise(17)
@@ -92,7 +95,10 @@ def _dns_payload(k: Column) -> Column:
     return F.concat(F.lit("000181800001000200000000"), name, F.lit("00010001"), answers)
 
 
-@_query("dec_dns", "SELECT 'h' || (event_id % 16) || '.net.' AS name, '{10.0.0.' || (event_id % 16) || ',2001:db8::' || CASE WHEN event_id % 16 = 0 THEN '' ELSE printf('%x', event_id % 16) END || '}' AS ips, count(*) AS n FROM eflows GROUP BY 1, 2")
+@_query(
+    "dec_dns",
+    "SELECT 'h' || (event_id % 16) || '.net.' AS name, '{10.0.0.' || (event_id % 16) || ',2001:db8::' || CASE WHEN event_id % 16 = 0 THEN '' ELSE printf('%x', event_id % 16) END || '}' AS ips, count(*) AS n FROM eflows GROUP BY 1, 2"
+)
 def _dec_dns(spark, sf_dir):
     df = eflows(spark, sf_dir)
     payload = _dns_payload(F.col("event_id") % 16)
@@ -117,7 +123,10 @@ def _dec_sni(spark, sf_dir):
 
 # Filters that ask a list, a database or the whole table.
 def _databases(spark) -> enrich.Databases:
-    nets = [("10.0.0.0/8", "eu", "A", "65001", "as A"), ("10.0.0.0/24", "eu", "B", "65002", "as B"), ("10.0.0.0/30", "oc", "C", "65003", "as C"), ("2001:db8::/100", "eu", "D", "65004", "as D"), ("2001:db8::a00:0/122", "oc", "E", "65005", "as E")]
+    nets = [
+        ("10.0.0.0/8", "eu", "A", "65001", "as A"), ("10.0.0.0/24", "eu", "B", "65002", "as B"), ("10.0.0.0/30", "oc", "C", "65003", "as C"),
+        ("2001:db8::/100", "eu", "D", "65004", "as D"), ("2001:db8::a00:0/122", "oc", "E", "65005", "as E")
+    ]
     rows = lookup.prefixes(spark, nets, ["continent", "city", "asn", "asd"])
     geo = rows.select("ver", "plen", "net", "net6", "continent", "city", *[F.lit("?").alias(c) for c in dsl.GEO if c not in ("continent", "city")])
     return enrich.Databases(geo, rows.select("ver", "plen", "net", "net6", "asn", "asd"), {"mynet": ["10.0.0.16/28", "10.0.0.3/32"]})
@@ -135,27 +144,39 @@ _MFREQ = """+ ports AS (SELECT l4_src_port AS p FROM flows UNION ALL SELECT l4_d
     flows2 AS (SELECT flows.*, CASE WHEN a.c > b.c THEN a.p WHEN a.c < b.c THEN b.p ELSE least(a.p, b.p) END AS mf FROM flows JOIN f a ON a.p = l4_src_port JOIN f b ON b.p = l4_dst_port)"""
 for _name, (_text, _sql) in _FILTERS.items():
 
-    @_query(_name, f"{_MFREQ} SELECT flow_order, flow_line, in_bytes FROM flows2 WHERE {_sql}" if "mf " in _sql else f"SELECT flow_order, flow_line, in_bytes FROM flows WHERE {_sql}")
+    @_query(
+        _name,
+        f"{_MFREQ} SELECT flow_order, flow_line, in_bytes FROM flows2 WHERE {_sql}" if "mf " in _sql else f"SELECT flow_order, flow_line, in_bytes FROM flows WHERE {_sql}"
+    )
     def _asked(spark, sf_dir, text=_text):
         databases = _databases(spark)
         df = enrich.enrich(_absent(flows(spark, sf_dir)), databases, [text])
         return df.where(enrich.matching([text], databases.lists)).select(*queries._KEYS, "in_bytes")
 
 
-@_query("asd_lpm", f"SELECT CASE {queries._LPM} WHEN 'C' THEN 'as C' WHEN 'B' THEN 'as B' WHEN 'A' THEN 'as A' ELSE '?' END AS asd_src_host_, CAST(sum(in_pkts) AS BIGINT) AS packets FROM flows GROUP BY 1")
+@_query(
+    "asd_lpm",
+    f"SELECT CASE {queries._LPM} WHEN 'C' THEN 'as C' WHEN 'B' THEN 'as B' WHEN 'A' THEN 'as A' ELSE '?' END AS asd_src_host_, CAST(sum(in_pkts) AS BIGINT) AS packets FROM flows GROUP BY 1"
+)
 def _asd(spark, sf_dir):
     fields = ["asd(src host)", "packets"]
     df = enrich.enrich(flows(spark, sf_dir), _databases(spark), (), fields)
     return windows.tumbling(df, fields, 10**9).groupBy("asd_src_host_").agg(F.sum("packets").cast("long").alias("packets"))
 
 
-@_query("geo_lpm6", "SELECT CASE WHEN ip4_src_addr BETWEEN 167772160 AND 167772223 THEN 'E' WHEN ip4_src_addr < 268435456 THEN 'D' ELSE '?' END AS city, count(*) AS n FROM flows GROUP BY 1")
+@_query(
+    "geo_lpm6",
+    "SELECT CASE WHEN ip4_src_addr BETWEEN 167772160 AND 167772223 THEN 'E' WHEN ip4_src_addr < 268435456 THEN 'D' ELSE '?' END AS city, count(*) AS n FROM flows GROUP BY 1"
+)
 def _geo6(spark, sf_dir):
     found = lookup.longest(_wide(flows(spark, sf_dir)), "ip6_src_addr", _databases(spark).geo, {"city": "?"}, 6)
     return found.groupBy("city").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("dev_by_id", "SELECT dev_ip, input_snmp AS dev_id, CASE WHEN dev_ip = 2130706432 AND input_snmp = 4 THEN 5 WHEN dev_ip = 2130706432 THEN 10 WHEN input_snmp = 1 THEN 20 ELSE 1 END AS rate, count(*) AS n FROM flows GROUP BY ALL")
+@_query(
+    "dev_by_id",
+    "SELECT dev_ip, input_snmp AS dev_id, CASE WHEN dev_ip = 2130706432 AND input_snmp = 4 THEN 5 WHEN dev_ip = 2130706432 THEN 10 WHEN input_snmp = 1 THEN 20 ELSE 1 END AS rate, count(*) AS n FROM flows GROUP BY ALL"
+)
 def _dev_by_id(spark, sf_dir):
     """A device given by address and id, one by address, one by id; the first in order counts."""
     rows = [(0, 2130706432, 4, 5, False), (1, 2130706432, None, 10, False), (2, None, 1, 20, False), (3, 2130706433, 1, 99, False)]
@@ -214,7 +235,10 @@ def _stream(spark, sf_dir) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")
     proto = F.when(F.col("event_type") == "click", 6).when(F.col("event_type") == "view", 17).when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 47).otherwise(50)
-    return rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("user_id") + 167772160).alias("src"), proto.cast("long").alias("protocol"), F.floor(F.col("value") * 100).cast("long").alias("in_bytes"))
+    return rows.select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("user_id") + 167772160).alias("src"), proto.cast("long").alias("protocol"),
+        F.floor(F.col("value") * 100).cast("long").alias("in_bytes")
+    )
 
 
 @_query("str_window", "SELECT sec - sec % 60 + 60 AS time, protocol AS proto, CAST(sum(in_bytes) AS BIGINT) AS octets FROM eflows GROUP BY 1, 2")
@@ -294,7 +318,10 @@ def _cfg_extended(spark, sf_dir):
     ON n.period + {queries.PERIOD} = sec - sec % {queries.PERIOD} AND n.port = l4_dst_port AND n.protocol = flows.protocol GROUP BY 1""")
 def _cfg_classes(spark, sf_dir):
     """A classifier of a monitoring object, whose names a window of the object shows."""
-    conf = {"classification": [{"fields": ["dst port", "proto"], "val": "octets desc", "top-percents": 70, "time": queries.PERIOD}], "fwm": [{"name": "w", "fields": ["class0", "packets"], "time": 60}]}
+    conf = {
+        "classification": [{"fields": ["dst port", "proto"], "val": "octets desc", "top-percents": 70, "time": queries.PERIOD}],
+        "fwm": [{"name": "w", "fields": ["class0", "packets"], "time": 60}]
+    }
     found = monitor.evaluate(_absent(flows(spark, sf_dir)).drop("sampling_rate").withColumn("in_pkts", F.lit(1).cast("long")), [config.monitoring_object(conf, "all")]).tables["all_w"]
     return found.groupBy("class0").agg(F.sum("packets").cast("long").alias("n"))
 
@@ -306,7 +333,10 @@ def _exp_sql(spark, sf_dir):
     return _time(sqltext.inserts(windows.tumbling(flows(spark, sf_dir), fields, queries.DAY7), "all_proto", fields).drop("nth"))
 
 
-@_query("clsf_grown", f"""{queries._CLASSES} SELECT class_id, min(period) AS since, arg_max(CAST(s AS VARCHAR) || ' of ' || CAST(round(s * 100.0 / share) AS BIGINT) || ', ', period) AS stats FROM k GROUP BY 1""")
+@_query(
+    "clsf_grown",
+    f"""{queries._CLASSES} SELECT class_id, min(period) AS since, arg_max(CAST(s AS VARCHAR) || ' of ' || CAST(round(s * 100.0 / share) AS BIGINT) || ', ', period) AS stats FROM k GROUP BY 1"""
+)
 def _clsf_grown(spark, sf_dir):
     """The dictionary after all periods, period by period; its stats end with the share."""
     classes = queries._classes(spark, sf_dir).withColumn("name", F.col("class_id"))
@@ -321,20 +351,29 @@ def _r9(t):
     return reports.top_with_other(t, "dst", "octets", 15, F.expr(f"octets div {queries.DAY7} * 8"))
 
 
-@_report("rpt_as_names", f", n AS (SELECT time, src_as || ': as' || (src_as - 64511) AS label, octets FROM t){re.sub(r'FROM t[ ]', 'FROM n ', queries._other_sql('label', 10, 'octets'))}")
+@_report(
+    "rpt_as_names",
+    f", n AS (SELECT time, src_as || ': as' || (src_as - 64511) AS label, octets FROM t){re.sub(r'FROM t[ ]', 'FROM n ', queries._other_sql('label', 10, 'octets'))}"
+)
 def _r11(t):
     label = F.concat(F.col("src_as").cast("string"), F.lit(": as"), (F.col("src_as") - 64511).cast("string"))
     return reports.top_with_other(t.withColumn("label", label), "label", "octets", 10)
 
 
-for _name, _key, _value in (("rpt_talkers_src_octets", "src", "octets"), ("rpt_talkers_src_packets", "src", "packets"), ("rpt_talkers_dst_octets", "dst", "octets"), ("rpt_talkers_dst_packets", "dst", "packets")):
+for _name, _key, _value in (
+    ("rpt_talkers_src_octets", "src", "octets"), ("rpt_talkers_src_packets", "src", "packets"), ("rpt_talkers_dst_octets", "dst", "octets"),
+    ("rpt_talkers_dst_packets", "dst", "packets")
+):
 
     @_report(_name, queries._other_sql(_key, 10, _value))
     def _r14(t, key=_key, value=_value):
         return reports.top_with_other(t, key, value, 10)
 
 
-@_query("rpt_minute", "SELECT CAST(round(sec / 60.0) * 60 AS BIGINT) AS time, CAST(sum(in_pkts) AS BIGINT) // 60 AS pps, CAST(sum(in_bytes) AS BIGINT) // 60 * 8 AS bps FROM (SELECT DISTINCT sec, ip4_src_addr, protocol, in_pkts, in_bytes FROM eflows) GROUP BY 1")
+@_query(
+    "rpt_minute",
+    "SELECT CAST(round(sec / 60.0) * 60 AS BIGINT) AS time, CAST(sum(in_pkts) AS BIGINT) // 60 AS pps, CAST(sum(in_bytes) AS BIGINT) // 60 * 8 AS bps FROM (SELECT DISTINCT sec, ip4_src_addr, protocol, in_pkts, in_bytes FROM eflows) GROUP BY 1"
+)
 def _r15(spark, sf_dir):
     rows = eflows(spark, sf_dir).select(F.timestamp_seconds(F.unix_seconds("ts")).alias("ts"), "ip4_src_addr", "protocol", "in_pkts", "in_bytes").distinct()
     out = rows.groupBy(reports.nearest(F.col("ts"), 60).alias("time")).agg(F.sum("in_pkts").alias("p"), F.sum("in_bytes").alias("o"))

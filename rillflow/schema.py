@@ -143,5 +143,8 @@ class Wire:
 WIRE_FIELDS = [Wire(n, int(e), k, int(a), int(b)) for n, e, k, a, b in map(str.split, WIRE.split("\n")[1:-1])]
 BY_ELEMENT = {w.element: w for w in WIRE_FIELDS} | {299: next(w for w in WIRE_FIELDS if w.name == "rpackets")}
 FILTER_FIELDS = {n: (k, s, None if d == "=" else d) for n, k, s, d in map(str.split, FILTER.split("\n")[1:-1])}
-VIRTUAL = [T.StructField("dev_ip6", T.BinaryType()), T.StructField("dev_id", T.LongType()), T.StructField("dev_mark", T.LongType()), T.StructField("sampling_rate", T.LongType()), T.StructField("recv_ts", T.TimestampType())]
+VIRTUAL = [
+    T.StructField("dev_ip6", T.BinaryType()), T.StructField("dev_id", T.LongType()), T.StructField("dev_mark", T.LongType()),
+    T.StructField("sampling_rate", T.LongType()), T.StructField("recv_ts", T.TimestampType())
+]
 FLOW_SCHEMA = T.StructType([T.StructField(w.name, w.spark) for w in WIRE_FIELDS] + VIRTUAL)

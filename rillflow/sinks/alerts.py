@@ -25,14 +25,20 @@ def notifications(states: DataFrame, keys: list[str], prefix: str, limit_name: s
     shown = [(text or (lambda k: F.col(k).cast("string")))(k) for k in keys]
     whole = lambda c: F.floor(c).cast("long").cast("string")
     file = F.concat_ws("-", F.lit(prefix), F.lit(limit_name), *shown)
-    rows = states.select(*keys, "at_us", "state", "value", "limit", file.alias("file"), F.concat_ws(" ", *shown, whole(F.col("value")), whole(F.col("limit"))).alias("body"), F.array(*shown).alias("argv"))
+    rows = states.select(
+        *keys, "at_us", "state", "value", "limit", file.alias("file"),
+        F.concat_ws(" ", *shown, whole(F.col("value")), whole(F.col("limit"))).alias("body"), F.array(*shown).alias("argv")
+    )
     w = Window.partitionBy("file", F.floor(F.col("at_us") / (UPDATE_SECONDS * 1_000_000)), "state").orderBy("at_us")
     first = rows.withColumn("_n", F.row_number().over(w)).where("state <> 'ALMOST_GONE' AND (state <> 'UPDATE' OR _n = 1)")
     action = F.when(F.col("state") == "NEW", "CREATE").when(F.col("state") == "GONE", "REMOVE").otherwise("UPDATE")
     return first.select("at_us", action.alias("action"), "file", "body", "argv", whole(F.col("value")).alias("value"), whole(F.col("limit")).alias("limit"))
 
 
-def deliver(batch: DataFrame, folder: str, names: tuple[str, str, str], on_start: str | None = None, on_end: str | None = None, run: Callable[[list[str]], None] | None = None) -> int:
+def deliver(
+    batch: DataFrame, folder: str, names: tuple[str, str, str], on_start: str | None = None, on_end: str | None = None,
+    run: Callable[[list[str]], None] | None = None
+) -> int:
     """Writes, renews and removes files of notifications in time order and runs the scripts; returns how many rows there were.
 
     A script gets the object's, moving average's and limit's names, the file, the keys, the value and

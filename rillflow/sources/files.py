@@ -21,7 +21,10 @@ PREFIX = "ver int, plen int, net long, net6 string"
 GEO_RANGE = ["ip_version", "start_ip", "end_ip", "continent", "country_code", "country", "state", "city", "zip", "timezone", "latitude", "longitude", "accuracy"]
 AS_RANGE = ["start_ip", "end_ip", "asn", "asd"]
 # Geographic functions and the columns that the locations and blocks form has for them.
-GEO_BLOCK = {"continent": "continent_code", "country_code": "country_iso_code", "country": "country_name", "state": "subdivision_1_name", "city": "city_name", "zip": "postal_code", "lat": "latitude", "long": "longitude"}
+GEO_BLOCK = {
+    "continent": "continent_code", "country_code": "country_iso_code", "country": "country_name", "state": "subdivision_1_name", "city": "city_name",
+    "zip": "postal_code", "lat": "latitude", "long": "longitude"
+}
 GEO_COLUMNS = list(GEO_BLOCK)
 
 
@@ -72,7 +75,10 @@ def _csv(spark: SparkSession, path: str, header: bool = True, columns: list[str]
 def geo_ranges(spark: SparkSession, path: str) -> DataFrame:
     """Prefix table with GEO_COLUMNS of a file of ranges; continent and country code in lower case."""
     rows = _csv(spark, path, columns=GEO_RANGE)
-    rows = rows.select("start_ip", "end_ip", F.lower("continent").alias("continent"), F.lower("country_code").alias("country_code"), "country", "state", "city", "zip", F.col("latitude").alias("lat"), F.col("longitude").alias("long"))
+    rows = rows.select(
+        "start_ip", "end_ip", F.lower("continent").alias("continent"), F.lower("country_code").alias("country_code"), "country", "state", "city",
+        "zip", F.col("latitude").alias("lat"), F.col("longitude").alias("long")
+    )
     return to_prefixes(rows, "start_ip", "end_ip")
 
 

@@ -29,7 +29,10 @@ MOST_TEMPLATES = 200_000  # of all exporters, held by every task
 NAMES = [f.name for f in FLOW_SCHEMA.fields]
 # Struct layout of a version 5 record and the fields it fills.
 V5 = struct.Struct("!IIIHHIIIIHHBBBBHHBBH")
-V5_FIELDS = ("ip4_src_addr", "ip4_dst_addr", "ip4_next_hop", "input_snmp", "output_snmp", "in_pkts", "in_bytes", "first_switched", "last_switched", "l4_src_port", "l4_dst_port", None, "tcp_flags", "protocol", "src_tos", "src_as", "dst_as", "src_mask", "dst_mask", None)
+V5_FIELDS = (
+    "ip4_src_addr", "ip4_dst_addr", "ip4_next_hop", "input_snmp", "output_snmp", "in_pkts", "in_bytes", "first_switched", "last_switched",
+    "l4_src_port", "l4_dst_port", None, "tcp_flags", "protocol", "src_tos", "src_as", "dst_as", "src_mask", "dst_mask", None
+)
 
 
 def value_of(element: int, data: bytes):
@@ -147,7 +150,10 @@ def packet(frame: bytes, kind: int = 1) -> dict:
     for _ in range(3):  # the packet and two tunnels
         if ether == 0x0800 and len(frame) >= at + 20:
             size, proto = (frame[at] & 15) * 4, frame[at + 9]
-            row |= {"ip_protocol_version": 4, "src_tos": frame[at + 1], "ip_ttl": frame[at + 8], "protocol": proto, "ip4_src_addr": int.from_bytes(frame[at + 12 : at + 16], "big"), "ip4_dst_addr": int.from_bytes(frame[at + 16 : at + 20], "big")}
+            row |= {
+                "ip_protocol_version": 4, "src_tos": frame[at + 1], "ip_ttl": frame[at + 8], "protocol": proto,
+                "ip4_src_addr": int.from_bytes(frame[at + 12 : at + 16], "big"), "ip4_dst_addr": int.from_bytes(frame[at + 16 : at + 20], "big")
+            }
             fragment = struct.unpack_from("!H", frame, at + 6)[0] & 0x3FFF
             at += size
             if fragment:
@@ -204,7 +210,10 @@ def sflow5(data: bytes) -> Iterator[dict]:
             if tag == 1 and len(r) >= 16:
                 row |= {"in_bytes": word(r, 4)} | packet(r[16 : 16 + word(r, 12)], word(r, 0))
             elif tag == 3 and len(r) >= 28:
-                row |= {"in_bytes": word(r, 0), "protocol": word(r, 4), "ip4_src_addr": word(r, 8), "ip4_dst_addr": word(r, 12), "l4_src_port": word(r, 16), "l4_dst_port": word(r, 20), "tcp_flags": word(r, 24)}
+                row |= {
+                    "in_bytes": word(r, 0), "protocol": word(r, 4), "ip4_src_addr": word(r, 8), "ip4_dst_addr": word(r, 12),
+                    "l4_src_port": word(r, 16), "l4_dst_port": word(r, 20), "tcp_flags": word(r, 24)
+                }
         payload = row.pop("payload", b"")
         if 53 in (row.get("l4_src_port"), row.get("l4_dst_port")) and (found := dns(payload)):
             row |= {"dns_name": found[0], "dns_ips": "{" + ",".join(found[1]) + "}"}
@@ -328,7 +337,10 @@ def _times(ts: list, counts: list[int] | int) -> pa.Array:
 
 
 # The fields of a version 5 record as (element, size); 0 is padding.
-V5_LAYOUT = [(8, 4), (12, 4), (15, 4), (10, 2), (14, 2), (2, 4), (1, 4), (22, 4), (21, 4), (7, 2), (11, 2), (0, 1), (6, 1), (4, 1), (5, 1), (16, 2), (17, 2), (9, 1), (13, 1), (0, 2)]
+V5_LAYOUT = [
+    (8, 4), (12, 4), (15, 4), (10, 2), (14, 2), (2, 4), (1, 4), (22, 4), (21, 4), (7, 2), (11, 2), (0, 1), (6, 1), (4, 1), (5, 1), (16, 2), (17, 2),
+    (9, 1), (13, 1), (0, 2)
+]
 
 
 def _plain(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -74,7 +74,10 @@ def averages(stream: DataFrame, keys: list[str], value: str, seconds: int, ts: s
     return rows.groupBy(*keys).applyInPandasWithState(step, _types(stream, keys) + SERIES.format(order=order), STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alerts(stream: DataFrame, keys: list[str], value: str, seconds: int, back_to_norm: int, limits: dict | None = None, default: float = float("inf"), below: bool = False, ts: str = "ts", order: str = "event_id", late: str = "1 minute") -> DataFrame:
+def alerts(
+    stream: DataFrame, keys: list[str], value: str, seconds: int, back_to_norm: int, limits: dict | None = None, default: float = float("inf"),
+    below: bool = False, ts: str = "ts", order: str = "event_id", late: str = "1 minute"
+) -> DataFrame:
     """(keys, at_us, state, value): NEW, UPDATE, ALMOST_GONE and GONE of each key's alerts.
 
     A key is in alert while its average per second reaches its limit (limits by key tuple, or the default).

@@ -21,7 +21,14 @@ from rillflow.streaming.store import drained, export
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["dec_nf9", "dec_ipfix", "dec_sflow", "dec_dns", "dec_sni", "flt_geo", "flt_mfreq", "dev_by_id", "geo_lpm6", "mavg_dump", "alert_states", "str_window", "str_alert", "cfg_tree", "cfg_extended", "cfg_classes", "exp_sql", "clsf_train", "clsf_grown", "rpt_as_names", "rpt_minute", "fn_escape"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "dec_nf9", "dec_ipfix", "dec_sflow", "dec_dns", "dec_sni", "flt_geo", "flt_mfreq", "dev_by_id", "geo_lpm6", "mavg_dump", "alert_states",
+        "str_window", "str_alert", "cfg_tree", "cfg_extended", "cfg_classes", "exp_sql", "clsf_train", "clsf_grown", "rpt_as_names", "rpt_minute",
+        "fn_escape"
+    ]
+)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events"):
@@ -36,7 +43,14 @@ def test_query_equals_sql(spark, name):
 
 def test_configuration(tmp_path):
     assert config.loads('{ // one\n "a": "x // y", /* two */ "b": [1, 2,],\n}') == {"a": "x // y", "b": [1, 2]}
-    for path, conf in (("in", '{"filter": "dst net 10.0.0.0/8", "fwm": [{"name": "w", "fields": ["octets"]}]}'), ("in/udp", '{"filter": "proto 17", "mavg": [{"name": "m", "time": "10", "fields": ["dst host", "packets"], "overlimit": [{"name": "l", "limits": "l.csv", "default": [5]}]}]}'), (".hidden", "{"), ("in/empty", None)):
+    for path, conf in (
+        ("in", '{"filter": "dst net 10.0.0.0/8", "fwm": [{"name": "w", "fields": ["octets"]}]}'),
+        (
+            "in/udp",
+            '{"filter": "proto 17", "mavg": [{"name": "m", "time": "10", "fields": ["dst host", "packets"], "overlimit": [{"name": "l", "limits": "l.csv", "default": [5]}]}]}'
+        ),
+        (".hidden", "{"), ("in/empty", None)
+    ):
         os.makedirs(tmp_path / path)
         if conf:
             (tmp_path / path / "mo.conf").write_text(conf)
@@ -85,7 +99,10 @@ def test_dimension_files(spark, tmp_path):
     (tmp_path / "devices.conf").write_text('[{"ip": "127.0.0.1", "sampling-rate": 100, "mark": ["port 53"]}, /* any */ {"id": 7, "skip-unmarked": true}]')
     rows, marks = files.devices(spark, str(tmp_path / "devices.conf"))
     assert [tuple(r) for r in rows.collect()] == [(0, 2130706433, None, 100, False), (1, None, 7, 1, True)] and marks == [["port 53"], []]
-    classes = spark.createDataFrame([(0, 53, "53", "domain", 9, 90.0), (30, 53, "53", "domain", 5, 50.0), (30, 80, "80", "http", 5, 50.0)], "period long, port long, class_id string, name string, s long, share double")
+    classes = spark.createDataFrame(
+        [(0, 53, "53", "domain", 9, 90.0), (30, 53, "53", "domain", 5, 50.0), (30, 80, "80", "http", 5, 50.0)],
+        "period long, port long, class_id string, name string, s long, share double"
+    )
     grown = classify.grown(classify.renamed(classify.grown(None, classes.where("period = 0")), {"53": "names"}), classes.where("period = 30"))
     assert sorted((r.class_id, r.name, r.since, r.stats) for r in grown.collect()) == [("53", "names", 0, "5 of 10, 50.0%"), ("80", "http", 30, "5 of 10, 50.0%")]
     files.write_class_names(str(tmp_path / "classes"), grown)
@@ -197,18 +214,34 @@ def test_alert_stream_by_the_clock(spark, tmp_path):
 
 
 def test_notifications(spark, tmp_path):
-    states = spark.createDataFrame([(7, 10, "NEW", 5.9), (7, 1_000_000, "UPDATE", 6.0), (7, 1_500_000, "UPDATE", 7.0), (7, 4_000_000, "UPDATE", 8.2), (7, 5_000_000, "ALMOST_GONE", 4.0), (7, 6_000_000, "GONE", 3.0), (8, 20, "NEW", 9.0)], "src long, at_us long, state string, value double").withColumn("limit", F.lit(5.0))
+    states = spark.createDataFrame(
+        [
+            (7, 10, "NEW", 5.9), (7, 1_000_000, "UPDATE", 6.0), (7, 1_500_000, "UPDATE", 7.0), (7, 4_000_000, "UPDATE", 8.2),
+            (7, 5_000_000, "ALMOST_GONE", 4.0), (7, 6_000_000, "GONE", 3.0), (8, 20, "NEW", 9.0)
+        ],
+        "src long, at_us long, state string, value double"
+    ).withColumn("limit", F.lit(5.0))
     rows = alerts.notifications(states, ["src"], "mo-m", "level1")
-    assert sorted((r.at_us, r.action, r.file, r.body) for r in rows.collect()) == [(10, "CREATE", "mo-m-level1-7", "7 5 5"), (20, "CREATE", "mo-m-level1-8", "8 9 5"), (1_000_000, "UPDATE", "mo-m-level1-7", "7 6 5"), (4_000_000, "UPDATE", "mo-m-level1-7", "7 8 5"), (6_000_000, "REMOVE", "mo-m-level1-7", "7 3 5")]
+    assert sorted((r.at_us, r.action, r.file, r.body) for r in rows.collect()) == [
+        (10, "CREATE", "mo-m-level1-7", "7 5 5"), (20, "CREATE", "mo-m-level1-8", "8 9 5"), (1_000_000, "UPDATE", "mo-m-level1-7", "7 6 5"),
+        (4_000_000, "UPDATE", "mo-m-level1-7", "7 8 5"), (6_000_000, "REMOVE", "mo-m-level1-7", "7 3 5")
+    ]
     ran = []
     assert alerts.deliver(rows, str(tmp_path / "n"), ("mo", "m", "level1"), "on.sh", "off.sh", ran.append) == 5
     assert os.listdir(tmp_path / "n") == ["mo-m-level1-8"] and (tmp_path / "n/mo-m-level1-8").read_text() == "8 9 5"
-    assert ran == [["on.sh", "mo", "m", "level1", f"{tmp_path}/n/mo-m-level1-7", "7", "5", "5"], ["on.sh", "mo", "m", "level1", f"{tmp_path}/n/mo-m-level1-8", "8", "9", "5"], ["off.sh", "mo", "m", "level1", f"{tmp_path}/n/mo-m-level1-7", "7", "3", "5"]]
+    assert ran == [
+        ["on.sh", "mo", "m", "level1", f"{tmp_path}/n/mo-m-level1-7", "7", "5", "5"],
+        ["on.sh", "mo", "m", "level1", f"{tmp_path}/n/mo-m-level1-8", "8", "9", "5"],
+        ["off.sh", "mo", "m", "level1", f"{tmp_path}/n/mo-m-level1-7", "7", "3", "5"]
+    ]
 
 
 def test_sql_text(spark, tmp_path):
     fields = ["packets desc", "src host", "src mac", "sni"]
-    table = spark.createDataFrame([(0, 9, 167772161, "02:00:00:00:00:01", "it's"), (0, 5, None, None, None), (0, 12, 1, None, "a")], "t long, packets long, src_host long, src_mac string, sni string").select(F.timestamp_seconds("t").alias("time"), "packets", "src_host", "src_mac", "sni")
+    table = spark.createDataFrame(
+        [(0, 9, 167772161, "02:00:00:00:00:01", "it's"), (0, 5, None, None, None), (0, 12, 1, None, "a")],
+        "t long, packets long, src_host long, src_mac string, sni string"
+    ).select(F.timestamp_seconds("t").alias("time"), "packets", "src_host", "src_mac", "sni")
     text = {r.nth: r.sql for r in sqltext.inserts(table, "w", fields, limit=2).collect()}
     assert text[0] == "insert into \"w\" values ( to_timestamp(0), 12, '0.0.0.1', NULL, 'a'), ( to_timestamp(0), 9, '10.0.0.1', '02:00:00:00:00:01', 'it\\x27s');"
     assert text[1 << 30] == 'insert into "w" values ( to_timestamp(0), 5, NULL, NULL, NULL);'
