@@ -11,6 +11,9 @@ from ..dsl import FieldSpec, parse_field
 from .lookup import small as broadcast_small
 
 
+PARTS = 64  # in which a window's rows are ranked first
+
+
 def bucket(ts: Column, seconds: int) -> Column:
     """The end of the window that holds ts."""
     s = F.unix_seconds(ts.cast("timestamp"))
@@ -35,22 +38,23 @@ def order_of(specs: list[FieldSpec]) -> list[Column]:
 def top_with_others(windowed: DataFrame, fields: list[str], limit: int) -> DataFrame:
     """The first `limit` rows of each window by all fields in their order; the rest in one row of null keys.
 
-    Ranks are taken in two steps: within hashed parts of a window first, so that only `limit` rows of
-    each part meet in one task; the rest is the window's total less what is kept.
+    One pass: rows are ranked within hashed parts of a window, each part's rows behind the limit become
+    one sum, and only the parts' first rows and sums meet, where they are ranked and summed again.
     """
     specs = [parse_field(f) for f in fields]
-    if not limit:
-        return windowed
     keys, sums = [s.name for s in specs if not s.summed], [s.name for s in specs if s.summed]
-    order = order_of(specs)
-    parted = windowed.withColumn("_part", F.pmod(F.xxhash64(*[s.name for s in specs]), F.lit(64)))
-    few = parted.withColumn("_n", F.row_number().over(Window.partitionBy("time", "_part").orderBy(*order))).where(F.col("_n") <= limit)
-    top = few.withColumn("_n", F.row_number().over(Window.partitionBy("time").orderBy(*order))).where(F.col("_n") <= limit).select(*windowed.columns)
-    count = lambda df, tag: df.groupBy("time").agg(F.count(F.lit(1)).alias(f"_{tag}"), *[F.sum(c).alias(f"_{tag}_{c}") for c in sums])
-    rest = count(windowed, "all").join(count(top, "top"), "time").where("_all > _top")
-    types = dict(windowed.dtypes)
-    rest = rest.select("time", *[F.lit(None).cast(types[s.name]).alias(s.name) if not s.summed else (F.col(f"_all_{s.name}") - F.col(f"_top_{s.name}")).cast(types[s.name]).alias(s.name) for s in specs])
-    return top.unionByName(rest) if keys else top
+    if not limit or not keys:
+        return windowed
+    order, types = order_of(specs), dict(windowed.dtypes)
+    first = Window.partitionBy("time", "_part").orderBy(*order)
+    parted = windowed.withColumn("_part", F.pmod(F.xxhash64(*[s.name for s in specs]), F.lit(PARTS)))
+    ranked = parted.withColumn("_n", F.row_number().over(first)).withColumn("_slot", F.when(F.col("_n") <= limit, F.col("_n")))
+    few = ranked.groupBy("time", "_part", "_slot").agg(*[F.first(k).alias(k) for k in keys], *[F.sum(c).alias(c) for c in sums])
+    then = Window.partitionBy("time").orderBy(F.col("_slot").isNull(), *order)
+    few = few.withColumn("_n", F.row_number().over(then)).withColumn("_top", (F.col("_n") <= limit) & F.col("_slot").isNotNull())
+    slot = F.when(F.col("_top"), F.col("_n")).otherwise(limit + 1).alias("_at")
+    out = few.groupBy("time", slot).agg(*[F.first(F.when(F.col("_top"), F.col(k))).alias(k) for k in keys], *[F.sum(c).cast(types[c]).alias(c) for c in sums])
+    return out.select(*windowed.columns)
 
 
 def gated(flows: DataFrame, intervals: DataFrame, ts: str = "ts") -> DataFrame:
