@@ -68,7 +68,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_warc, op4_ngram_jaccard, op5_embedding_near_dedup, op6_decontamination, op7_token_codes, op8_sharding, op9_packing, op10_quality)}
+SLOP = 5
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the benchmark whose words all lie close to one another in a document, in any order."""
+    queries = decontam.queries_of(table(spark, sf_dir, "benchmark"))
+    ix = decontam.index(table(spark, sf_dir, "documents")).of(queries)
+    near = decontam.proximity(ix, queries, SLOP).groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+    return ix.rows.join(near, "rid", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_near"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_url_filter, op3_warc, op4_ngram_jaccard, op5_embedding_near_dedup, op6_decontamination, op7_token_codes,
+        op8_sharding, op9_packing, op10_quality, benchmark_proximity,
+    )
+}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
@@ -113,6 +130,23 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "benchmark_proximity": rf"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+        i AS (
+            SELECT list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+        windows AS (SELECT row_number() OVER () AS wid, t FROM (
+            SELECT DISTINCT w[k + 1 : k + 10] AS t FROM (SELECT w, unnest(range(0, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0))),
+        terms AS (SELECT DISTINCT wid, len(t) + {SLOP} AS span, len(list_distinct(t)) AS need, unnest(t) AS term FROM windows),
+        places AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS p FROM d),
+        met AS (SELECT doc_id, p, wid, span, need, term FROM places JOIN terms USING (term)),
+        whole AS (SELECT doc_id, wid FROM met GROUP BY doc_id, wid, need HAVING count(DISTINCT term) = need),
+        close AS (SELECT m.* FROM met m JOIN whole USING (doc_id, wid)),
+        spans AS (
+            SELECT a.doc_id, a.wid FROM close a JOIN close b ON a.doc_id = b.doc_id AND a.wid = b.wid AND b.p >= a.p AND b.p < a.p + a.span
+            GROUP BY a.doc_id, a.wid, a.p, a.need HAVING count(DISTINCT b.term) = a.need),
+        counts AS (SELECT doc_id, count(DISTINCT wid) AS n FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_near FROM d LEFT JOIN counts USING (doc_id)""",
     "op4_ngram_jaccard": rf"""
         WITH RECURSIVE d AS (
             SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
