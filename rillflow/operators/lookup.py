@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 MOST_BROADCAST, MOST_BYTES = 500_000, 48 << 20
 
 
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """Broadcast only where a bounded count shows that the table is small, in rows and in bytes."""
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
     strings = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
-    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in strings), F.lit(16 * len(df.columns)))
-    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    return F.broadcast(df) if rows <= most and (size or 0) <= MOST_BYTES else df
+    return sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in strings), F.lit(16 * len(df.columns)))
+
+
+def is_small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether a bounded count shows that the table is small, in rows and in bytes."""
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(_bytes(df))).first()
+    return rows <= most and (size or 0) <= MOST_BYTES
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Broadcast only where the table is small."""
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def prefixes(spark, rows: list[tuple[str, ...]], columns: list[str]) -> DataFrame:
@@ -48,11 +57,6 @@ def masked6(addr: Column, plen: int) -> Column:
     return F.rpad(kept, 32, "0")
 
 
-def lengths_of(table: DataFrame, ver: int = 4) -> list[int]:
-    """The prefix lengths of a table: at most 33 or 129."""
-    return sorted(r["plen"] for r in table.where(F.col("ver") == ver).select("plen").distinct().collect())
-
-
 def _by_length(flows: DataFrame, addr: str, table: DataFrame, values: list[str], ver: int) -> tuple[DataFrame, list[str]]:
     """flows with one column `_at<n>` for each prefix length n: the values of its prefix of that length, or null.
 
@@ -61,9 +65,11 @@ def _by_length(flows: DataFrame, addr: str, table: DataFrame, values: list[str],
     """
     own, found = flows.columns, []
     net, mask = ("net", masked4) if ver == 4 else ("net6", masked6)
-    for n in lengths_of(table, ver):
+    sizes = table.where(F.col("ver") == ver).groupBy("plen").agg(F.count(F.lit(1)).alias("n"), F.sum(_bytes(table)).alias("b")).collect()
+    few = {r["plen"]: r["n"] <= MOST_BROADCAST and r["b"] <= MOST_BYTES for r in sizes}
+    for n in sorted(few):
         part = table.where((F.col("ver") == ver) & (F.col("plen") == n)).groupBy(F.col(net).alias(f"_net{n}")).agg(F.min(F.struct(*values) if values else F.lit(True)).alias(f"_at{n}"))
-        flows = flows.join(small(part), mask(F.col(addr), n) == F.col(f"_net{n}"), "left").drop(f"_net{n}")
+        flows = flows.join(F.broadcast(part) if few[n] else part, mask(F.col(addr), n) == F.col(f"_net{n}"), "left").drop(f"_net{n}")
         found.append(f"_at{n}")
     return flows.select(*[F.col(f"`{c}`") for c in own], *found), found
 
@@ -107,12 +113,12 @@ def device_rates(flows: DataFrame, devices: DataFrame, default: int = 1) -> Data
         devices = devices.withColumn("id", F.lit(None).cast("long"))
     dev_id = F.col("dev_id") if "dev_id" in flows.columns else F.lit(None).cast("long")
     own = [F.col(f"`{c}`") for c in flows.columns if c not in ("sampling_rate", "skip")]
-    out, found = flows.withColumn("_id", dev_id), []
+    out, found, few = flows.withColumn("_id", dev_id), [], is_small(devices)
     for n, (by_ip, by_id) in enumerate(((True, True), (True, False), (False, True))):
         some = devices.where((F.col("ip").isNotNull() if by_ip else F.col("ip").isNull()) & (F.col("id").isNotNull() if by_id else F.col("id").isNull()))
         first = some.groupBy(F.col("ip").alias(f"_ip{n}"), F.col("id").alias(f"_id{n}")).agg(F.min(F.struct("ord", "rate", "skip")).alias(f"_d{n}"))
         on = [F.col("dev_ip") == F.col(f"_ip{n}")] * by_ip + [F.col("_id") == F.col(f"_id{n}")] * by_id
-        out = out.join(small(first), on, "left").drop(f"_ip{n}", f"_id{n}")
+        out = out.join(F.broadcast(first) if few else first, on, "left").drop(f"_ip{n}", f"_id{n}")
         found.append(F.col(f"_d{n}"))
     best = F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
     out = out.withColumn("_device", best)
