@@ -90,9 +90,10 @@ class TextModel:
 def fit_text(df: DataFrame, key: str, text: str, declared: str, most: int = SAMPLE, each: int = EACH) -> TextModel:
     """Trigram tables of all declared languages, from the `most` rows of least hash and the `each` of every language.
 
-    The hash is of key, text and language, and equal rows count once, so no tie is broken at random.
+    The hash is of key and language; rows of one hash count once, so key should tell rows of different texts
+    apart. It is taken before the texts are: only those of the sample are worked out here.
     """
-    told = df.where(F.col(declared).isNotNull()).select(F.col(text).alias("text"), F.col(declared).alias("name"), F.xxhash64(key, text, declared).alias("h"))
+    told = df.where(F.col(declared).isNotNull()).select(F.col(text).alias("text"), F.col(declared).alias("name"), F.xxhash64(key, declared).alias("h"))
     nth = F.row_number().over(Window.partitionBy("name").orderBy("h"))
     edges = told.select("name", "h").withColumn("nth", nth).where(F.col("nth") <= each)
     edges = written(edges.groupBy("name").agg(F.max("h").alias("edge")), "edges")
@@ -149,9 +150,10 @@ def _judged(df: DataFrame, own: list[str], key: str, text, declared, host, domai
     none = F.lit(None).cast("string")
     c_text, c_declared, c_host, c_domain, c_suffix, c_e, c_found = (p + x for x in ("text", "declared", "host", "domain", "suffix", "e", "found"))
     code = F.nullif(F.split(lower_ascii(F.trim(declared)), "[-_]").getItem(0), F.lit(""))
+    row = F.xxhash64(*[col_of(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()])  # tells rows apart that share a key
     given = [(none if x is None else x).alias(c) for x, c in ((host, c_host), (domain, c_domain), (suffix, c_suffix))]
-    tagged = df.select(*map(col_of, own), (col_of(text) if isinstance(text, str) else text).cast("string").alias(c_text), code.alias(c_declared), *given)
-    model = fit_text(tagged.select(col_of(key).alias("key"), F.col(c_text).alias("text"), F.col(c_declared).alias("declared")), "key", "text", "declared")
+    tagged = df.select(*map(col_of, own), (col_of(text) if isinstance(text, str) else text).cast("string").alias(c_text), code.alias(c_declared), row.alias(p + "row"), *given)
+    model = fit_text(tagged.select(F.col(p + "row").alias("key"), F.col(c_text).alias("text"), F.col(c_declared).alias("declared")), "key", "text", "declared")
     names = model.languages
     if not names:
         return tagged, {"language": none, "confidence": F.lit(0.0), "text_language": none, "accepted": F.lit(False)}
