@@ -17,6 +17,8 @@ ASCII_LOWER = ASCII_UPPER.lower()
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 MOST_BROADCAST_BYTES = 64 << 20
 SALTS = 16
+#: Removes the shuffle files of an execution at its end; without it they stay until the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Schemes of Hadoop's file systems that pyarrow knows by another name.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
@@ -53,10 +55,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, and survives the loss of any executor."""
+    """df as a table written to the shared folder: cuts the lineage, and survives the loss of any executor.
+
+    What was shuffled for it is of no use then, and its files are removed at once.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._rillflow_path = path
     _held(spark).append(path)

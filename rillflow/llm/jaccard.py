@@ -44,8 +44,11 @@ from .components import components
 WORDS, PERCENT = 5, 80
 COMMON, FREQUENT, MOST_COMMON = 3, 64, 2_000_000
 CHUNK_SHINGLES = 4_000_000
+KEY_BITS = ~U(0xFFFF)  # of a key: equal ones only add candidates, and zero bytes beside a row's other zeros take no room when shuffled
 SPLIT, SHARE, TURNS = 512, 0.3, 2
 MOST_ROWS, MOST_ENDS = 1_000_000, 2_000_000
+GROUP = ["key", "one", "two"]
+MEMBER = [*GROUP, "part", "fp", "label", "old", "met"]
 
 
 def fingerprints(h: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -184,7 +187,7 @@ def _keys(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percen
                     keys.append(x)
                     owners.append(np.full(len(x), f, np.uint64))
             if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(owners))], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys) & KEY_BITS), _signed(np.concatenate(owners))], ["key", "fp"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(task, "key long, fp long")
 
@@ -379,32 +382,61 @@ def _grouped(batches, width: int):
         yield key, held
 
 
+def _asking(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups that have a partner left to compare by parts, labels, earlier groups and sizes: only their sketches move.
+
+    rows: (key, one, two, part, fp, label, old, met), met being earlier groups that held the set, or null.
+    """
+
+    def task(batches):
+        for key, rows in _grouped(batches, 9):
+            some = np.flatnonzero(_left(key, rows, percent).any(1))
+            if some.size:
+                k = [pa.array([key[0]] * len(some), pa.int64()), *(pa.array([x] * len(some), pa.int32()) for x in key[1:])]
+                part, fp, label, old, met = ([rows[i][j] for i in some] for j in range(5))
+                own = [pa.array(part, pa.int32()), pa.array(fp, pa.int64()), pa.array(label, pa.int64()), pa.array(old, pa.bool_()), pa.array(met, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*k, *own], MEMBER)
+
+    sizes = broadcast_if(nodes.select("fp", F.col("n").cast("long").alias("n")), MOST_ROWS)
+    sent = rows.join(sizes, "fp").select(*MEMBER, "n").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return written(sent.mapInArrow(task, "key long, one int, two int, part int, fp long, label long, old boolean, met array<long>"), "asking")
+
+
+def _sketched(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows that _asking() leaves, with their sizes and sketches, by groups."""
+    left = _asking(rows, nodes, percent)
+    slim = _only(nodes.select("fp", F.col("n").cast("long").alias("n"), "sketch"), left.select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    return left.join(slim, "fp").select(*MEMBER, "n", "sketch").repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _left(key: tuple, rows: list, percent: int) -> np.ndarray:
+    """Which pairs of a group are left to compare, sketches aside; rows: (part, fp, label, old, met, n, ...)."""
+    part, label, old, n = (np.array([r[i] for r in rows]) for i in (0, 2, 3, 5))
+    left = _asked(key, part, label, old) & _sizes_allow(n, percent)
+    met = [r[4] or [] for r in rows]
+    if any(met) and left.any():
+        ids, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in met]), return_inverse=True)
+        holds = np.zeros((len(rows), len(ids)), np.float32)
+        holds[np.repeat(np.arange(len(rows)), [len(x) for x in met]), inverse] = 1
+        left &= ~(holds @ holds.T > 0)
+    return left
+
+
 def _never_compared(open_: DataFrame, done: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(u, v): pairs of different labels in open keys that no earlier group held together and that sizes and sketches allow."""
 
     def task(batches):
-        for key, rows in _grouped(batches, 9):
-            part, fp, label, n = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 4))
-            met = [r[3] or [] for r in rows]
-            new = _allowed(_asked(key, part, label, np.zeros(len(rows), bool)), n, [r[5] for r in rows], percent)
-            if not new.any():
-                continue
-            if any(met):
-                ids, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in met]), return_inverse=True)
-                holds = np.zeros((len(rows), len(ids)), np.float32)
-                holds[np.repeat(np.arange(len(rows)), [len(x) for x in met]), inverse] = 1
-                new &= ~(holds @ holds.T > 0)
+        for key, rows in _grouped(batches, 10):
+            fp, n = (np.array([r[i] for r in rows]) for i in (1, 5))
+            new = _allowed(_left(key, rows, percent), n, [r[6] for r in rows], percent)
             a, b = np.nonzero(np.triu(new, 1))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[a], fp[b])), pa.array(np.maximum(fp[a], fp[b]))], ["u", "v"])
 
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     past = done.groupBy("fp").agg(F.collect_set("met").alias("met"))
-    group = ["key", "one", "two"]
-    slim = nodes.select("fp", F.col("n").cast("long").alias("n"), "sketch")
-    rows = _dealt(open_.join(past, "fp", "left"), sizes).join(slim, "fp")
-    sent = rows.select(*group, "part", "fp", "label", "met", "n", "sketch").repartition(*group).sortWithinPartitions(*group)
-    return sent.mapInArrow(task, "u long, v long").distinct()
+    rows = _dealt(open_.join(past, "fp", "left").withColumn("old", F.lit(False)), sizes)
+    return _sketched(rows.select(*MEMBER), nodes, percent).mapInArrow(task, "u long, v long").distinct()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -431,9 +463,14 @@ def _asked(key: tuple, part: np.ndarray, label: np.ndarray, old: np.ndarray) ->
     return asked & (part[:, None] != part[None, :]) if key[1] != key[2] else asked
 
 
+def _sizes_allow(n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be similar enough by their sizes alone."""
+    return (100 + percent) * np.minimum(n[:, None], n[None, :]) >= percent * (n[:, None] + n[None, :])
+
+
 def _allowed(asked: np.ndarray, n: np.ndarray, sketches: list, percent: int) -> np.ndarray:
     """Those of the asked pairs of a group that may be similar enough, by sizes and sketches."""
-    asked = asked & ((100 + percent) * np.minimum(n[:, None], n[None, :]) >= percent * (n[:, None] + n[None, :]))
+    asked = asked & _sizes_allow(n, percent)
     some = np.flatnonzero(asked.any(1))
     if not some.size:
         return asked
@@ -447,20 +484,18 @@ def _allowed(asked: np.ndarray, n: np.ndarray, sketches: list, percent: int) ->
 
 def _screened(groups: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The rows of groups that may have a similar partner in their group, by sizes and sketches; texts stay where they are."""
-    columns = ["key", "one", "two", "part", "fp", "label", "old"]
+    columns = MEMBER[:-1]
 
     def task(batches):
-        for key, rows in _grouped(batches, 9):
-            part, fp, label, old, n = (np.array([r[i] for r in rows]) for i in range(5))
-            near = _allowed(_asked(key, part, label, old), n, [r[5] for r in rows], percent)
+        for key, rows in _grouped(batches, 10):
+            part, fp, label, old, n = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 3, 5))
+            near = _allowed(_left(key, rows, percent), n, [r[6] for r in rows], percent)
             some = np.flatnonzero(near.any(1))
             if some.size:
                 k = [pa.array([key[0]] * len(some), pa.int64()), *(pa.array([x] * len(some), pa.int32()) for x in key[1:])]
                 yield pa.RecordBatch.from_arrays([*k, pa.array(part[some].astype(np.int32)), pa.array(fp[some]), pa.array(label[some]), pa.array(old[some])], columns)
 
-    group = columns[:3]
-    slim = nodes.select("fp", F.col("n").cast("long").alias("n"), "sketch")
-    sent = groups.join(slim, "fp").select(*columns, "n", "sketch").repartition(*group).sortWithinPartitions(*group)
+    sent = _sketched(groups.withColumn("met", F.lit(None).cast("array<long>")), nodes, percent)
     return written(sent.mapInArrow(task, "key long, one int, two int, part int, fp long, label long, old boolean"), "screened")
 
 
@@ -499,8 +534,7 @@ def _compared(rows: DataFrame, k: int, percent: int) -> DataFrame:
         if len(held) > 1:
             yield from flush()
 
-    group = ["key", "one", "two"]
-    sent = rows.select(*group, "part", "fp", "label", "old", "text").repartition(*group).sortWithinPartitions(*group)
+    sent = rows.select(*GROUP, "part", "fp", "label", "old", "text").repartition(*GROUP).sortWithinPartitions(*GROUP)
     return written(sent.mapInArrow(task, "u long, v long"), "links")
 
 

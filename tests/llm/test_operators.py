@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.llm import dac, decontam, embed, jaccard, langid, packing, quality, sharding, tokens, urlfilter, warc
+from rillflow.llm import common, dac, decontam, embed, jaccard, langid, packing, quality, sharding, tokens, urlfilter, warc
 from rillflow.llm.queries import URL_RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +114,40 @@ def test_jaccard_sketches_bound():
     assert (jaccard._shared(sets) == true)[off].all()
 
 
+def test_jaccard_only_asking_rows_move(spark):
+    """Sketches are joined to rows with a partner left by label, size and earlier groups, and to no others; all pairs left are found."""
+    sketch = lambda n: np.arange(n, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    sizes = {1: 100, 2: 110, 3: 300, 4: 105, 5: 104}
+    nodes = spark.createDataFrame([(fp, n, bytearray(sketch(n // 4)), "") for fp, n in sizes.items()], "fp long, n int, sketch binary, text string")
+    kind = "key long, one int, two int, part int, fp long, label long, old boolean"
+    groups = [(7, 0, 0, 0, 1, 1, True), (7, 0, 0, 0, 2, 2, False), (7, 0, 0, 0, 3, 3, False), (8, 0, 0, 0, 1, 1, True), (8, 0, 0, 0, 4, 4, True), (9, 0, 0, 0, 4, 4, False), (9, 0, 0, 0, 5, 4, False)]
+    groups = spark.createDataFrame(groups, kind)
+    assert sorted((r.key, r.fp) for r in jaccard._sketched(groups.withColumn("met", F.lit(None).cast("array<long>")), nodes, 80).collect()) == [(7, 1), (7, 2)]
+    assert sorted((r.key, r.fp) for r in jaccard._screened(groups, nodes, 80).collect()) == [(7, 1), (7, 2)]
+    open_ = spark.createDataFrame([(7, 1, 1, False), (7, 2, 2, False), (7, 4, 4, False), (7, 3, 3, False)], "key long, fp long, label long, old boolean")
+    done = spark.createDataFrame([(1, 5), (2, 5), (2, 6), (4, 6)], "fp long, met long")
+    assert [(r.u, r.v) for r in jaccard._never_compared(open_.drop("old"), done, nodes, 80).collect()] == [(1, 4)]
+
+
+def test_jaccard_short_keys(docs):
+    """Keys have 48 bits: the others are zero and cost nothing when shuffled."""
+    keys = [r.key for r in jaccard._keys(docs, (np.zeros(0, np.uint64), np.zeros(0, bool)), 5, 80, 0).collect()]
+    assert keys and all(x & 0xFFFF == 0 for x in keys) and len({x >> 16 for x in keys}) > 100
+
+
+def test_written_leaves_no_shuffle(spark):
+    """What was shuffled for a written table is removed at once, and the session's setting is as before."""
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x.getName() for x in (lambda y: [y.apply(i) for i in range(y.size())])(folder.getAllFiles()) if x.getName().startswith("shuffle_")}
+    before, setting = held(), spark.conf.get(common.CLEANUP)
+    out = common.written(spark.range(1000).repartition(4, "id"), "test")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and out.count() == 1000 and spark.conf.get(common.CLEANUP) == setting
+
+
 def test_decontamination(spark, docs):
     benchmark = spark.createDataFrame([(1, "c d e f g"), (2, None), (3, LONG[:200]), (4, "words"), (None, "x y z")], "item_id long, text string").unionByName(spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("item_id", F.col("item_id") + 10))
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
